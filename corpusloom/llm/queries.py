@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, secrets, toxicity
 from .common import held_out
 
 
@@ -20,5 +20,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_language_id": op1_language_id}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    got = toxicity.score(docs, model, carry=("doc_id",))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"), carry=("doc_id",))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_toxicity": op2_toxicity, "op4_secret_scan": op4_secret_scan}
 ORACLE_SQL: dict[str, str] = {}
