@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, secrets, toxicity
+from . import language_id, near_dedup, secrets, toxicity
 from .common import held_out
 
 
@@ -31,5 +31,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"), carry=("doc_id",))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_toxicity": op2_toxicity, "op4_secret_scan": op4_secret_scan}
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_toxicity": op2_toxicity, "op4_secret_scan": op4_secret_scan, "op5_near_dedup": op5_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
