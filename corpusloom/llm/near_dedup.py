@@ -5,7 +5,8 @@
    that every coordinate fills. A text needs a few rounds unless it is tiny.
 2. Texts with equal shingle sets form a class at once, by a digest of the set; classes alone go on.
 3. Band hashes bucket the classes. A bucket's members are compared with its smallest member, never all with all.
-4. Candidates are verified on full shingle sets; confirmed links make components.
+4. Candidates whose sizes and sketches allow the similarity are verified on full shingle sets; confirmed links make
+   components.
 5. Members of one bucket that are then still in different components are compared with each other as well, so a link is
    not lost for want of a comparison. Two texts at the threshold share no bucket with probability 3e-6 (0.8 ** ROWS in
    each of BANDS bands); more similar ones far less.
@@ -34,6 +35,10 @@ COORDS = BANDS * ROWS
 #: Members of a pivot that one task verifies before the pivot's text is sent to another.
 CHUNK = 256
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Coordinates of two sketches that must agree before full sets are compared, 5.5 standard deviations below what a pair
+#: at a similarity of 0.8 has: such a pair falls short with probability 2e-8, one at 0.5 passes with 2e-3.
+NIBBLES = 16
+SLACK = 5.5
 
 
 def similarity_sketch(own: np.ndarray, sh: np.ndarray, n: int, t: int = COORDS) -> np.ndarray:
@@ -67,6 +72,28 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature(sketch: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates to a 64-bit integer."""
+    bits = (sketch & np.uint64(15)).reshape(len(sketch), -1, NIBBLES) << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+
+
+def least_agreeing(percent: int) -> int:
+    """Agreeing coordinates that a pair at the threshold has, but for a deviation of SLACK; four bits agree by chance once in 16."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(COORDS * p - SLACK * (COORDS * p * (1 - p)) ** 0.5)
+
+
+def _alike(x: str, y: str, percent: int) -> str:
+    """SQL: sizes and signatures of two rows allow the similarity."""
+    words = []
+    for i in range(COORDS // NIBBLES):
+        d = f"({x}.sig[{i}] ^ {y}.sig[{i}])"
+        words.append(f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & 1229782938247303441L)")
+    sizes = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    return f"{sizes} and {' + '.join(words)} <= {COORDS - least_agreeing(percent)}"
+
+
 class Sketcher:
     def __init__(self):
         self.hasher = WordHasher()
@@ -75,11 +102,13 @@ class Sketcher:
         h, counts = hashed(texts, space_words, self.hasher)
         own, sh = shingle2(h, counts)
         sizes = np.bincount(own, minlength=len(texts))
-        keys = band_keys(similarity_sketch(own, sh, len(texts)))
+        sketch = similarity_sketch(own, sh, len(texts))
+        keys = band_keys(sketch)
+        sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * (COORDS // NIBBLES), pa.int32()), pa.array(signature(sketch).reshape(-1)))
         cuts = np.cumsum(sizes)[:-1]
         digests = [xxhash.xxh3_128_digest(np.ascontiguousarray(s).tobytes()) if len(s) else None for s in np.split(sh, cuts)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-        return [digests, pa.array(sizes, pa.int64()), lists]
+        return [digests, pa.array(sizes, pa.int64()), lists, sigs]
 
 
 def _verified(docs: DataFrame, edges: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -123,25 +152,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept): one row for each row of ``docs``."""
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_body"))
-    outs = [T.StructField("digest", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    longs = T.ArrayType(T.LongType())
+    outs = [T.StructField("digest", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", longs), T.StructField("sig", longs)]
     sketches = stored(map_texts(docs, "_body", ["_id"], outs, Sketcher), "sketches")
     usable = sketches.where("n_shingles > 0 and _id is not null")
     classes = usable.groupBy("digest").agg(F.min("_id").alias("cls"))
-    chosen = usable.join(classes.select(F.col("digest"), F.col("cls").alias("_id")), ["digest", "_id"])
-    banded = chosen.select(F.explode("bands").alias("key"), F.struct(F.col("_id").alias("id"), F.col("n_shingles").alias("n")).alias("m"))
-    pivots = banded.groupBy("key").agg(F.min("m").alias("p"), F.max("m").alias("last")).where("p.id <> last.id").select("key", "p")
-    members = stored(banded.join(pivots, "key").select("key", "m.id", "m.n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "buckets")
-    small_enough = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
-    tested = stored(members.where("id <> pivot and " + small_enough.format("n", "pivot_n")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    chosen = usable.join(classes.select(F.col("digest"), F.col("cls").alias("_id")), ["digest", "_id"]).dropDuplicates(["digest"])
+    chosen = stored(chosen.select(F.col("_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands"), "classes")
+    banded = chosen.select(F.explode("bands").alias("key"), "id")
+    pivots = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot <> _last").select("key", "pivot")
+    members = stored(banded.join(pivots, "key"), "buckets")
+    card = chosen.select("id", "n", "sig")
+
+    pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = pairs.join(card.select(F.col("id").alias("a"), F.struct("n", "sig").alias("x")), "a").join(card.select(F.col("id").alias("b"), F.struct("n", "sig").alias("y")), "b")
+    tested = stored(pairs.where(_alike("x", "y", percent)).select("a", "b"), "pairs")
     links = stored(_verified(docs, tested, "_id", "_body", percent), "links")
     comp = components(links)
 
     # What one bucket holds of several components: compare those as well.
-    own = members.select("key", "id", "n").distinct().join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = members.select("key", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = stored(own.join(split, "key"), "open")
+    open_ = stored(own.join(split, "key").join(card, "id"), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    more = x.join(y, F.expr("x.key = y.key and x.component <> y.component and x.id > y.id and " + small_enough.format("x.n", "y.n")))
+    more = x.join(y, F.expr("x.key = y.key and x.component <> y.component and x.id > y.id and " + _alike("x", "y", percent)))
     more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = stored(more, "pairs")
     if more.limit(1).count():
