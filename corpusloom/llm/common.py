@@ -215,3 +215,44 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], bucke
     inner = W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = df.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return local.join(sums, [*group, bucket]).withColumn(out, F.col(out) + F.col(before)).drop(before)
+
+
+def ordered_table(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` written in global order, with ``_p`` (the partition, in order) and ``_n`` (the row's number within it)."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    return stored(rows.withColumns({"_p": F.shiftright(number, 33).cast("int"), "_n": number.bitwiseAND((1 << 33) - 1)}), name)
+
+
+def lookup(values: dict[int, int], key: Column, default: int = 0) -> Column:
+    """A table with one small number for each partition, as an expression."""
+    if not values:
+        return F.lit(default).cast("bigint")
+    top = max(values)
+    listed = F.array(*[F.lit(int(values.get(i, default))).cast("bigint") for i in range(top + 1)])
+    return F.coalesce(F.try_element_at(listed, (key + 1).cast("int")), F.lit(default).cast("bigint"))
+
+
+def numbered(df: DataFrame, order: Sequence[str], out: str, name: str) -> DataFrame:
+    """Number the rows 0, 1, ... in global order; only one count for each partition reaches the driver."""
+    got = ordered_table(df, order, name)
+    counts = {r[0]: r[1] for r in got.groupBy("_p").count().collect()}
+    base, total = {}, 0
+    for p in sorted(counts):
+        base[p] = total
+        total += counts[p]
+    return got.withColumn(out, lookup(base, F.col("_p")) + F.col("_n")).drop("_p", "_n")
+
+
+#: Keys with more than this share of all rows are hot; there can be no more of them than its inverse.
+HOT_SHARE = 1 / 256
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, columns: Sequence[str]) -> DataFrame:
+    """Inner join of ``rows`` with a table that has each key once and its number of rows. The few hot keys are broadcast, so
+    their rows are never shuffled; the rest is joined by a shuffle. Adds ``columns`` of the table."""
+    bound = max(1, int(total * HOT_SHARE))
+    slim = table.select(key, count, *columns)
+    hot, cold = slim.where(F.col(count) > bound).drop(count), slim.where(F.col(count) <= bound).drop(count)
+    flags = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(flags, key, "left_anti").join(cold, key))

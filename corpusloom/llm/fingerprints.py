@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import WordHasher, blocks, hashed, map_texts, mix, owners, pair, plain_words, stored, tune
 
 BITS = 128
-BLOCKS, RADIUS = 8, 6
+BLOCKS, RADIUS = 4, 3
 WORD_WEIGHT, PAIR_WEIGHT = 1, 4
 _VOTE_TERMS = 100_000
 
@@ -106,28 +106,30 @@ def within_radius(queries: DataFrame, entries: DataFrame, radius: int = RADIUS,
     def part(col, b):
         return F.substring(col, b * width + 1, width)
 
-    def keyed(df, extra):
-        keys = F.array(*[F.struct(F.lit(i).cast("int").alias("t"), F.concat(*[part(F.col("fingerprint"), b) for b in c]).alias("key")) for i, c in enumerate(choices)])
-        return df.select("fingerprint", *extra, F.inline(keys))
-
     def half(col, k):
-        # conv() saturates at 64 unsigned bits, which 16 digits fill exactly; the cast to a signed long wraps by two halves.
         hi, lo = F.conv(F.substring(col, 16 * k + 1, 8), 16, 10).cast("bigint"), F.conv(F.substring(col, 16 * k + 9, 8), 16, 10).cast("bigint")
         return F.shiftleft(hi, 32).bitwiseOR(lo)
 
     lanes = [f"l{k}" for k in range(BITS // 64)]
-    q = queries.where("fingerprint is not null").select("fingerprint").distinct()
-    e = entries.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
-    q = keyed(q.withColumns({x: half(F.col("fingerprint"), k) for k, x in enumerate(lanes)}), lanes)
-    e = keyed(e.withColumns({x: half(F.col("fingerprint"), k) for k, x in enumerate(lanes)}), ["n", *lanes])
+
+    def digits(side):
+        return F.concat(*[F.lower(F.lpad(F.hex(F.col(f"{side}.{x}")), 16, "0")) for x in lanes])
+
+    def keyed(df, extra):
+        keys = F.array(*[F.xxhash64(F.lit(i), *[part(F.col("fingerprint"), b) for b in c]) for i, c in enumerate(choices)])
+        return df.select(*[half(F.col("fingerprint"), k).alias(x) for k, x in enumerate(lanes)], *extra, F.posexplode(keys).alias("t", "key"))
+
+    q = keyed(queries.where("fingerprint is not null").select("fingerprint").distinct(), [])
+    e = keyed(entries.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n")), ["n"])
     a, b = q.alias("a"), e.alias("b")
     distance = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in lanes)
-    got = a.join(b, F.expr(f"a.t = b.t and a.key = b.key and {distance} <= {radius}"))
+    got = a.join(b, F.expr(f"a.key = b.key and a.t = b.t and {distance} <= {radius}"))
+    got = got.select(digits("a").alias("fingerprint"), digits("b").alias("other"), F.col("b.n").alias("n"), F.expr(distance).alias("distance"), F.col("a.t").alias("t"))
     # The blocks that agree give the first table that holds the pair.
-    same = F.array(*[F.when(part(F.col("a.fingerprint"), x) == part(F.col("b.fingerprint"), x), F.lit(x)) for x in range(blocks_)])
+    same = F.array(*[F.when(part(F.col("fingerprint"), x) == part(F.col("other"), x), F.lit(x)) for x in range(blocks_)])
     first = F.slice(F.array_compact(same), 1, blocks_ - radius)
-    mine = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in choices]), F.col("a.t") + 1)
-    return got.where(first == mine).select(F.col("a.fingerprint").alias("fingerprint"), F.col("b.fingerprint").alias("other"), F.col("b.n").alias("n"), F.expr(distance).alias("distance"))
+    mine = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in choices]), F.col("t") + 1)
+    return got.where(first == mine).drop("t")
 
 
 _PAIRS = "_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, role string, text string"

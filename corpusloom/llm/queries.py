@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, secrets, toxicity
+from . import chat_format, decontaminate, fingerprints, language_id, licenses, line_dedup, mixing, near_dedup, secrets, toxicity
 from .common import held_out
 
 
@@ -35,5 +35,41 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_toxicity": op2_toxicity, "op4_secret_scan": op4_secret_scan, "op5_near_dedup": op5_near_dedup}
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_with_labels(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), carry=("doc_id",))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents"), carry=("doc_id", "text"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"), carry=("doc_id",))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns: n_near, the number of documents (itself included) within the production radius, for
+    the query set of ids divisible by 50."""
+    got = fingerprints.edited_pairs(_read(spark, sf_dir, "documents"))
+    near = fingerprints.neighbour_counts(got)
+    asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    found = got.where(asked).join(near, "fingerprint").select(*got.columns, "n_near")
+    return found.unionByName(got.where(~asked).withColumn("n_near", F.lit(None).cast("bigint")))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], rows.schema)
+    return chat_format.read_back(chat_format.render(chat_format.fold(chat_format.events_of(rows.unionByName(probe)))))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_pairs(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_toxicity, op3_source_mixing, op4_secret_scan, op5_near_dedup, op6_line_dedup, op7_license_scan, op8_fingerprints, op9_chat_format, op10_decontaminate)
+}
 ORACLE_SQL: dict[str, str] = {}
