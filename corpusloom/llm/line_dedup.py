@@ -343,6 +343,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = repeated_runs(lines, min_words)
     per = runs.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_runs"))
     per = stored(per.join(lines.select("d", "_a", "_h"), "d").drop("d"), "runs")
+    # A shuffled join at every size: what is deleted grows with the corpus, so it is never broadcast.
+    per = per.hint("merge")
     joined = keyed.join(per, ["_a", "_h"], "left").withColumn("_whole", F.lit(False))
     if repeats:
         again = stored(keyed.join(twice.select("_a", "_h"), ["_a", "_h"], "left_semi").withColumn("_row", F.monotonically_increasing_id()), "again")
