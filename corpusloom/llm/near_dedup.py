@@ -117,7 +117,8 @@ def _verified(docs: DataFrame, edges: DataFrame, id_col: str, text_col: str, per
     member = edges.join(hot, "b").select(F.col("a").alias("_doc"), "b", F.pmod(F.xxhash64("a"), F.col("_chunks")).cast("int").alias("_chunk"), F.lit(1).alias("_role"))
     pivot = hot.select(F.col("b").alias("_doc"), "b", F.explode(F.expr("sequence(0, _chunks - 1)")).alias("_chunk"), F.lit(0).alias("_role"))
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.join(member.unionByName(pivot), "_doc").select("_doc", "b", "_chunk", "_role", "_text")
+    # Shuffled at every size: the pairs grow with the corpus.
+    rows = texts.join(member.unionByName(pivot).hint("merge"), "_doc").select("_doc", "b", "_chunk", "_role", "_text")
     rows = rows.repartition("b", "_chunk").sortWithinPartitions("b", "_chunk", "_role", "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +151,32 @@ def _verified(docs: DataFrame, edges: DataFrame, id_col: str, text_col: str, per
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of ``docs``."""
+    return _grouped(docs, id_col, text_col, percent).drop("_key")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are kept: the first of each group, and all that are linked with nothing. Of wholly equal rows
+    with a text one stays."""
+    names = docs.columns
+    groups = _grouped(docs, id_col, text_col, percent).select(F.col(id_col).alias("_gone"), "_key", "kept", "n_shingles")
+    gone = groups.where(~F.col("kept")).select("_gone", "_key").distinct()
+    twice = groups.where("kept and n_shingles > 0 and _gone is not null").groupBy("_gone", "_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_gone", "_key")
+    twice = stored(twice, "equal")
+    keyed = docs.withColumns({"_gone": F.col(f"`{id_col}`").cast("bigint"), "_key": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    left = keyed.join(gone.hint("merge"), ["_gone", "_key"], "left_anti")
+    if twice.limit(1).count():
+        one = left.join(twice, ["_gone", "_key"], "left_semi").dropDuplicates(["_gone", "_key"])
+        left = left.join(twice, ["_gone", "_key"], "left_anti").unionByName(one)
+    return left.select(*[F.col(f"`{c}`") for c in names])
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     tune(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_body"))
+    body = F.col(f"`{text_col}`").cast("string")
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), body.alias("_body"), F.xxhash64(body).alias("_key"))
     longs = T.ArrayType(T.LongType())
     outs = [T.StructField("digest", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", longs), T.StructField("sig", longs)]
-    sketches = stored(map_texts(docs, "_body", ["_id"], outs, Sketcher), "sketches")
+    sketches = stored(map_texts(docs, "_body", ["_id", "_key"], outs, Sketcher), "sketches")
     usable = sketches.where("n_shingles > 0 and _id is not null")
     classes = usable.groupBy("digest").agg(F.min("_id").alias("cls"))
     chosen = usable.join(classes.select(F.col("digest"), F.col("cls").alias("_id")), ["digest", "_id"]).dropDuplicates(["digest"])
@@ -163,6 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot <> _last").select("key", "pivot")
     members = stored(banded.join(pivots, "key"), "buckets")
     card = chosen.select("id", "n", "sig")
+    # Texts that can be in a pair at all cross the network once; both verifications start from these.
+    docs = stored(docs.join(members.select(F.col("id").alias("_id")).distinct().hint("merge"), "_id", "left_semi"), "candidates")
 
     pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = pairs.join(card.select(F.col("id").alias("a"), F.struct("n", "sig").alias("x")), "a").join(card.select(F.col("id").alias("b"), F.struct("n", "sig").alias("y")), "b")
@@ -184,6 +208,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comp = components(links.unionByName(extra))
 
     named = classes.join(comp, classes.cls == comp.id, "left").select("digest", F.coalesce("component", "cls").alias("component_id"))
-    out = sketches.select("_id", "digest", "n_shingles").join(named, "digest", "left")
-    out = out.select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
+    out = sketches.select("_id", "_key", "digest", "n_shingles").join(named, "digest", "left")
+    out = out.select(F.col("_id").alias(id_col), "_key", "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
