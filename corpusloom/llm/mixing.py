@@ -70,9 +70,10 @@ def source_targets(sizes: DataFrame, shares: Sequence[int] = SHARES, most: int =
 
 def mix(
     docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    shares: Sequence[int] = SHARES, most: int = MOST_EPOCHS, carry: Sequence[str] | None = None,
+    shares: Sequence[int] = SHARES, most: int = MOST_EPOCHS, carry: Sequence[str] | None = None, size: Column | None = None,
 ) -> DataFrame:
-    """Add size, source_size, target and taken (words the mix takes of the document, repeats counted)."""
+    """Add size, source_size, target and taken (words the mix takes of the document, repeats counted). ``size``: an expression
+    of the documents' sizes if they are known."""
     names = docs.columns if carry is None else list(carry)
     kept = without(docs.select(*[docs[f"`{c}`"] for c in names]), OUTPUTS).columns
     inner = [free_name(docs.columns, f"_c{i}") for i in range(len(kept))]
@@ -80,7 +81,7 @@ def mix(
     w = F.when(w > 0, w).otherwise(F.lit(1.0))
     base = docs.select(
         *[docs[f"`{c}`"].alias(n) for c, n in zip(kept, inner)],
-        docs[f"`{id_col}`"].alias("_id"), docs[f"`{source_col}`"].cast("string").alias("source"), word_count(docs[f"`{text_col}`"]).alias("size"),
+        docs[f"`{id_col}`"].alias("_id"), docs[f"`{source_col}`"].cast("string").alias("source"), (word_count(docs[f"`{text_col}`"]) if size is None else size).alias("size"),
         (-F.log(uniform(docs[f"`{id_col}`"])) / w).alias("_key"),
     )
     base = stored(base, "mix")
@@ -111,9 +112,9 @@ def quality_of(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "qu
 def mix_with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", carry: Sequence[str] | None = None, **options) -> DataFrame:
     """``mix`` with weights by the labels' quality. Texts don't cross the join: only their sizes do."""
     names = docs.columns if carry is None else list(carry)
-    text_col = options.pop("text_col", "text")
+    text_col, source_col = options.pop("text_col", "text"), options.get("source_col", "source")
     size = free_name(docs.columns, "_size")
-    slim = docs.select(*dict.fromkeys([*[f"`{c}`" for c in names], f"`{id_col}`", f"`{options.get('source_col', 'source')}`"]), F.col(f"`{text_col}`").alias(size)) if text_col not in names else docs.withColumn(size, F.col(text_col))
     q = quality_of(labels, id_col)
-    joined = slim.join(q, slim[f"`{id_col}`"] == q["_labelled"], "left")
-    return mix(joined, F.col("_weight"), id_col, size, carry=names, **options)
+    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, id_col, source_col])], word_count(docs[f"`{text_col}`"]).alias(size))
+    joined = slim.join(q.hint("merge"), slim[f"`{id_col}`"] == q["_labelled"], "left")
+    return mix(joined, F.col("_weight"), id_col, text_col, carry=names, size=F.col(size), **options)
