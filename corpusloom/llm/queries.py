@@ -72,4 +72,38 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_toxicity, op3_source_mixing, op4_secret_scan, op5_near_dedup, op6_line_dedup, op7_license_scan, op8_fingerprints, op9_chat_format, op10_decontaminate)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_MIX_SQL = r"""
+with q as (select doc_id, max(quality) as q from labels group by 1),
+d as (select documents.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+  -ln((('0x' || substr(md5(coalesce(documents.doc_id::varchar, '')), 1, 13))::bigint + 0.5::double) / 4503599627370496::double) / case q when 1 then 2.0::double when 0 then 0.5::double else 1.0::double end as key
+  from documents left join q on documents.doc_id = q.doc_id),
+s as (select source, sum(size)::bigint as source_size, 3 * sum(size)::bigint as cap from d group by 1),
+w as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w from s),
+l as (select *, (sum(source_size) over () - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))::double / (sum(w) over () - coalesce(sum(w) over (o rows between unbounded preceding and 1 preceding), 0))::double as level
+  from w window o as (order by cap / w, source nulls last)),
+t as (select source, source_size, least(cap::double, coalesce((select level from l x where x.level * x.w <= x.cap order by x.cap / x.w, x.source nulls last limit 1), 1e300) * w) as target from l),
+r as (select doc_id, size, source_size, target, case when source_size > 0 then floor(target / source_size) else 0 end as epochs,
+  coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, (epochs * size + least(size, greatest(0, floor(target - epochs * source_size) - before)))::bigint as taken from r
+"""
+
+
+def _escaped_sql(c: str) -> str:
+    out = f"replace({c}, '\\', '\\\\')"
+    for x in chat_format.CONTROLS:
+        out = f"replace({out}, '{x}', '{x[0]}\\{x[1:]}')"
+    return out
+
+
+_FRAME = len(chat_format.START) + 1 + len(chat_format.END)
+_CHAT_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum({_FRAME} + length({_escaped_sql("role")}) + length({_escaped_sql("text")}))::bigint as formatted_chars
+from c group by 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": _MIX_SQL, "op9_chat_format": _CHAT_SQL}
