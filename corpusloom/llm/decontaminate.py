@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. Every n-gram of the test items is counted over all documents (number of documents that hold it).
-2. Each stretch of ``SPREAD`` n-grams of an item keeps its rarest one as a seed, so that common phrases seed nothing
-   while a passage that was leaked into any number of documents still has seeds everywhere.
+2. Each stretch of ``SPREAD`` n-grams of an item keeps as a seed the rarest one that some document holds, so that common
+   phrases seed nothing while a passage that was leaked into any number of documents still has seeds everywhere.
 3. A document's seed hits are grouped by item and diagonal; the passage around each group is aligned with the item.
    A word that is equal scores ``MATCH``; a replaced, added or missing one costs ``MISS``. The best local alignment of an
    item and a document is reported if it reaches ``share`` of the item's own score, or ``words`` matched words.
@@ -71,6 +71,7 @@ class Items:
     def seeds(self, df: dict[int, int]) -> np.ndarray:
         """Indexes of the n-grams that are the rarest of some stretch; ties go to the first."""
         n = np.fromiter((df.get(int(g), 0) for g in self.gram.view(np.int64)), np.int64, len(self.gram))
+        n[n == 0] = np.iinfo(np.int64).max  # what no document holds can find nothing
         order = np.lexsort((self.at, self.item))
         item = self.item[order]
         begin = np.searchsorted(item, item)
