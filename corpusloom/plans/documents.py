@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, graph, lines, overlap, packing, protected, records
+from corpusloom.operators import audit, building, graph, lines, overlap, packing, protected, records
 
 from .registry import query
 
@@ -339,3 +339,37 @@ def boilerplate(spark: SparkSession, sf: str) -> DataFrame:
 def boilerplate_removed(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
     return audit.clean_pages(d, audit.boilerplate(d, "source", "doc_id"), "source", "doc_id")
+
+
+@query()
+def build_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as records, packed into files by language and source."""
+    d = documents(spark, sf)
+    url = F.concat(F.lit("https://h/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".html"))
+    return building.build(d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), url.alias("source_url"), "text", F.array("lang").alias("tags"), F.lit("").alias("subskill"), F.lit("").alias("section"), F.col("doc_id").alias("ord")))
+
+
+@query("select doc_id, true as ok from documents")
+def split_verified(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's topics hold the whole document."""
+    m = markdown(spark, sf)
+    return building.verify_split(m, building.split_topics(m, 2, 4096)).select("doc_id", "ok")
+
+
+@query("select doc_id, true as drift from documents")
+def managed_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return building.managed_regions(markdown(spark, sf), "## Use it", "Ask for {{id}}.", {"id": F.col("doc_id")}).select("doc_id", "drift")
+
+
+@query()
+def maintenance(spark: SparkSession, sf: str) -> DataFrame:
+    return building.maintenance(documents(spark, sf), 4096, 2048)
+
+
+@query()
+def catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as owners, their frequent words as entities."""
+    d = documents(spark, sf)
+    pairs = graph.keywords(d, "source", k=40).select(F.col("source").alias("owner"), F.col("word").alias("entity"))
+    owners = d.groupBy(F.col("source").alias("owner")).agg(F.min_by("text", "doc_id").alias("description"))
+    return building.catalog(owners, pairs)

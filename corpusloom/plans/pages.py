@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, packing
+from corpusloom.operators import audit, ingest, packing
 
 from .registry import query
 
@@ -73,3 +73,21 @@ def page_bodies(spark: SparkSession, sf: str) -> DataFrame:
 def html_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("bigint")
     return pages(spark, sf).select("page_id", n(r"<a\b").alias("anchors"), n(r"(?i)<h[1-6]\b").alias("headings"), n("&[a-z]+;").alias("entities"))
+
+
+@query()
+def api_records(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 on pages whose content is an article's div."""
+    return ingest.api_pages(pages(spark, sf).withColumn("html", F.regexp_replace("html", "(?i)<body", "<div id=content></div><body")).withColumn("html", F.regexp_replace("html", r"(?i)<div id=content></div><body([^>]*)>", "<main id=content>")), "api", "content")
+
+
+@query()
+def book_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.book_chapters(pages(spark, sf), "book", "https://h/book.html", ["contents"], "page_id")
+
+
+@query()
+def chapter_reflow(spark: SparkSession, sf: str) -> DataFrame:
+    """Markdown of pages as book pages, a chapter for every ten."""
+    c = converted(spark, sf).select(F.col("page_id").alias("page"), F.col("markdown").alias("text"), F.floor(F.col("page_id") / 10).alias("title"))
+    return ingest.chapters(c)

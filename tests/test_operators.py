@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, graph, lines, overlap, packing, protected, records
+from corpusloom.operators import audit, building, graph, ingest, lines, overlap, packing, protected, records
 from corpusloom.sources import files
 from corpusloom.streaming import gates
 
@@ -200,3 +200,25 @@ def test_graph(spark):
     docs = spark.createDataFrame([(1, "A Foo-Bar and foo bar"), (2, "none")], "doc_id int, text string")
     terms = spark.createDataFrame([("Foo-Bar",), ("foo",), ("bare",)], "term string")
     assert {(r["doc_id"], r["term"]) for r in graph.term_presence(docs, terms).collect()} == {(1, "Foo-Bar"), (1, "foo")}
+
+
+def test_ingest(spark):
+    html = "<body>intro<h1>One</h1><p>a</p><h1>One</h1><p>b</p><h1>Contents</h1><p>c</p><h1>Empty</h1></body>"
+    got = ingest.book_chapters(spark.createDataFrame([(1, html)], "book_id int, html string"), "bk", "http://h/b.html", ["contents"]).collect()
+    assert sorted((r["chunk_id"], r["title"], r["source_url"], r["text"]) for r in got) == [("bk-1-0001", "One", "http://h/b.html#one", "a"), ("bk-1-0002", "One", "http://h/b.html#one-2", "b")]
+    api = "<title>T</title><section id='c'><p>Keep</p><section id=x>drop</section><p>Label</p><h2>Trait</h2><h2>End</h2>gone</section>after"
+    assert ingest.api_section(api, "c", ["x"], ["Label"], ["End"]) == "Keep\n\n## Trait"
+    tree = json.dumps([{"title": "A", "destpageposfrom1": 1, "kids": [{"title": "B", "destpageposfrom1": 2, "kids": [{"title": "C"}]}, {"title": "D"}]}, {"title": "E"}])
+    rows = ingest.crumbs(ingest.outline_entries(spark.createDataFrame([(1, tree)], "book_id int, outline string"))).orderBy("n").collect()
+    assert [(r["title"], r["page"], r["depth"], r["path"]) for r in rows] == [("A", 1, 0, ["01-a"]), ("B", 2, 1, ["01-a", "b"]), ("C", None, 2, ["01-a", "b", "c"]), ("D", None, 1, ["01-a", "d"]), ("E", None, 0, ["02-e"])]
+    assert ingest.chapter("Known part\nSome text that is hyphen-\nated and goes\non.\n\n• one\ntwo\n1) three", ["known  Part"]) == "### Known part\n\nSome text that is hyphenated and goes on.\n\n- one two\n\n1) three"
+
+
+def test_building(spark):
+    page = lambda i, url, size: (str(i), f"T{i}", url, "x" * size, ["s"], "", "", i)
+    rows = [page(0, "http://h/a/p.html", 6), page(1, "http://h/a/q.html", 6), page(2, "http://h/b.html", 2), page(3, "http://h/c.html", 3), page(4, "http://h/a/p.html", 0)]
+    df = spark.createDataFrame(rows, "chunk_id string, title string, source_url string, text string, tags array<string>, subskill string, section string, ord int")
+    got = sorted((r["file"], r["name"], r["title"], r["n_leaves"], r["bytes"]) for r in building.build(df, 10).collect())
+    assert got == [(0, "s-p.md", "P", 1, 6), (1, "s-q.md", "Q", 1, 6), (2, "s-t2.md", "B, C", 2, 5)]
+    assert building.replaced_section("# A\n\n## L\nold\n### sub\n## Z\nz", "## L", "new") == "# A\n\n## L\n\nnew\n\n## Z\nz\n"
+    assert building.replaced_section("# A", "## L", "new") == "# A\n\n## L\n\nnew\n"
