@@ -25,7 +25,7 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Bound of the training sample: labelled rows, drawn by hash over all labelled rows outside the held-out fold.
 MAX_LABELLED = 20_000
-ALPHA, BETA, L1, L2, EPOCHS = 1.5, 1.0, 5.0, 0.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 8.0, 0.0, 4
 
 
 def text_features(texts: list[str | None], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
