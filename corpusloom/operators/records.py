@@ -101,15 +101,20 @@ def only_in_either(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").select(key, F.lit("left").alias("side")).unionByName(b.join(a, key, "left_anti").select(key, F.lit("right").alias("side")))
 
 
+#: Ranges of the order in which a group's rows are numbered independently.
+RANGES = 64
+
+
 def batches(rows: DataFrame, groups: Sequence[str], order: str, size: int | Column) -> DataFrame:
-    """Number the rows of each group in batches of at most ``size``.
-
-    A group's order is global; its rows are numbered by a two-level sum over ranges of the order, so that a group with most
-    rows is not sorted by one task: counts of each range first, then places within it."""
-    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    w = W.partitionBy(*groups).orderBy(order)
-    if rows.sparkSession.conf.get("spark.sql.shuffle.partitions") == "1":
-        return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+    """Number the rows of each group in batches of at most ``size``, by a numeric order.
+
+    A group with most of the rows is not sorted by one task: the order is cut into ranges at quantiles, each range's rows are
+    counted (a map-side combine), and a row's number is its place in the range plus the counts before. The cuts are values in
+    the plan, so both passes agree on them."""
+    steps = [i / RANGES for i in range(1, RANGES)]
+    cuts = rows.select(F.percentile_approx(order, steps, 1000)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    ranged = rows.withColumn("_part", part)
     counts = ranged.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(*groups, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
