@@ -21,16 +21,16 @@ STOPWORDS = tuple(
         ).split()
     )
 )
-FENCE = r"^(`{3,}|~{3,})[\w+.\-]*$"
+FENCE = r"^(~{3,}|`{3,})[-.+\w]*$"
 MARKER = r"^> .+ reference\. (Verbatim docs|Original prose); identifiers preserved verbatim\.\s*$"
 #: Furniture of scraped pages, tested on whole lines outside code, case ignored but for the first.
-SECTION_TITLED = r'^\s*Section titled\s+[“"].*[”"]\s*$'
+SECTION_TITLED = r'^\s*Section titled\s+["“].*["”]\s*$'
 CHROME = (
     r"(?iu)^\s*("
     r"(back to top|on this page|print this page|table of contents|all rights reserved\.?|was this page helpful\??)\s*$"
     r"|edit this page|licensed under\s|\(c\)\s+\d{4}|©.*(\d{4}|contributor|license|reserved)"
     r"|(sponsor|support)\s+(us\s+)?on\s+open\s+collective|\[(sponsor on github|support on open collective)\]\("
-    r"|\[[^\]]*previous\]\([^)]*\)\s*\[[^\]]*next\]\()"
+    r"|\[[^\]]*previous[\]][(][^)]*[)]\s*\[[^\]]*next[\]][(])"
 )
 GLYPHS = r"[\x{E000}-\x{F8FF}]"
 EMPTY_FIGURE = r"\(Figure:\s*\)"
@@ -84,7 +84,7 @@ def ngram_hashes(tokens: Column, n: int) -> Column:
 def slug(c: Column, fallback: str = "page", drop_extension: bool = True) -> Column:
     """Lower-case words joined by hyphens; a Markdown or HTML extension goes first."""
     stem = F.regexp_replace(c, r"\.(md|html?)$", "") if drop_extension else c
-    dashed = F.lower(F.btrim(F.regexp_replace(stem, "[^A-Za-z0-9]+", "-"), F.lit("-")))
+    dashed = F.lower(F.btrim(F.regexp_replace(stem, "[^0-9A-Za-z]+", "-"), F.lit("-")))
     return F.coalesce(F.nullif(dashed, F.lit("")), F.lit(fallback))
 
 
@@ -99,7 +99,7 @@ def token_estimate(chars: Column) -> Column:
 
 def version(c: Column) -> Column:
     """The first N.N.N as a comparable struct, or null."""
-    parts = [F.regexp_extract(c, r"(\d+)\.(\d+)\.(\d+)", i) for i in (1, 2, 3)]
+    parts = [F.regexp_extract(c, r"([0-9]+)[.]([0-9]+)[.]([0-9]+)", i) for i in (1, 2, 3)]
     return F.when(parts[0] != "", F.struct(*[p.cast("int").alias(n) for p, n in zip(parts, ("major", "minor", "patch"))]))
 
 
@@ -108,18 +108,18 @@ def clean_title(c: Column) -> Column:
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\u200B", "")
     t = F.regexp_replace(t, r"\\([<>])", "$1")
     t = F.regexp_replace(t, r"(?i)</?br\s*/?>", "")
-    t = F.regexp_replace(t, r"\s*\(\d+\)\s*$", "")
-    return strip(F.replace(F.regexp_replace(t, r"\*\*(.+?)\*\*", "$1"), F.lit("**"), F.lit("")))
+    t = F.regexp_replace(t, r"\s*[(]\d+[)]\s*$", "")
+    return strip(F.replace(F.regexp_replace(t, r"[*]{2}(.+?)[*]{2}", "$1"), F.lit("**"), F.lit("")))
 
 
 def object_token(c: Column) -> Column:
     """What follows the last spaced dash."""
-    return clean_title(F.element_at(F.split(c, r"\s+[–—−-]\s+"), -1))
+    return clean_title(F.element_at(F.split(c, r"\s+[-−–—]\s+"), -1))
 
 
 def url_path(url: Column) -> Column:
     """The folders and the page of a URL, without host, documentation root, extensions and a closing index page."""
-    rel = F.coalesce(F.try_url_decode(F.replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?i)^[a-z]+://[^/]+/", ""), F.lit("+"), F.lit("%2B"))), url)
+    rel = F.coalesce(F.try_url_decode(F.replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?i)^[a-z]+:/{2}[^/]+/", ""), F.lit("+"), F.lit("%2B"))), url)
     cut = rel
     for root in ("/master/", "/main/", "/src/pages/"):  # the last that applies wins; each cuts at its first place
         cut = F.when(F.locate(root, rel) > 0, F.substring(rel, F.locate(root, rel) + len(root), F.length(rel))).otherwise(cut)
@@ -136,7 +136,7 @@ def is_fence(line: Column) -> Column:
 
 def preserved_removed(c: Column) -> Column:
     """Without inline code, links, addresses and figures."""
-    for pattern, by in ((r"`[^`]*`", " "), (r"\[[^\]]*\]\([^)]*\)", " "), (r"\]\(\s*[^)]*\)", "] "), (r"https?://\S+", " "), (r"\(Figure:[^)]*\)", " ")):
+    for pattern, by in ((r"`[^`]*`", " "), (r"\[[^\]]*[\]][(][^)]*[)]", " "), (r"[\]][(]\s*[^)]*[)]", "] "), (r"https?://\S+", " "), (r"\(Figure:[^)]*\)", " ")):
         c = F.regexp_replace(c, pattern, by)
     return c
 
@@ -149,12 +149,12 @@ def _wordy(c: Column) -> Column:
 def is_prose(line: Column) -> Column:
     """A line of narrative: six words, a stopword, and neither heading, quote, table row, marker nor bare bullet."""
     s = strip(line)
-    shape = s.rlike(r"^(#|>|\||[-:]+\s*\|)") | s.rlike(r"^\|?\s*[-:]+\s*\|") | s.rlike(r"^[-*+]\s+`?\[?[\w./:-]+`?\]?\s*$")
+    shape = s.rlike(r"^(#|>|\||[-:]+\s*\|)") | s.rlike(r"^\|?\s*[:-]+\s*[|]") | s.rlike(r"^[*+-]\s+`?\[?[-:/.\w]+`?\]?\s*$")
     return (s != "") & ~shape & _wordy(s)
 
 
 def is_signature(cell: Column) -> Column:
-    call = F.contains(cell, F.lit("(")) & F.contains(cell, F.lit(")")) & cell.rlike(r"[A-Z]\w*\s*[&*]\s*\w")
+    call = F.contains(cell, F.lit("(")) & F.contains(cell, F.lit(")")) & cell.rlike(r"[A-Z][\w]*\s*[*&]\s*\w")
     return cell.rlike(r"\boperator\b") | cell.rlike(r"\)\s*const\b") | call
 
 
@@ -197,7 +197,7 @@ def exemption(run: Column) -> Column:
 
 def is_entry_start(line: Column) -> Column:
     """A sub-heading, or a short line that ends in a bold word."""
-    return line.rlike(r"^#{2,}\s") | ((F.length(line) <= 90) & line.rlike(r"\*\*[^*]+\*\*\s*$"))
+    return line.rlike(r"^#{2,}\s") | ((F.length(line) <= 90) & line.rlike(r"[*]{2}[^*]+[*]{2}\s*$"))
 
 
 def is_distinctive(term: Column) -> Column:

@@ -50,7 +50,7 @@ def placeholders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, target): every Markdown link target outside code, without its anchor; anchors alone are left out."""
     open_ = lines(docs, id_col, text_col).where(~F.col("in_fence"))
-    found = open_.select(id_col, F.explode(F.regexp_extract_all("line", F.lit(r"\]\(\s*([^)\s]+)"), F.lit(1))).alias("t"))
+    found = open_.select(id_col, F.explode(F.regexp_extract_all("line", F.lit(r"\]\(\s*([^\s)]+)"), F.lit(1))).alias("t"))
     return found.select(id_col, F.regexp_replace("t", "#.*$", "").alias("target")).where("target <> ''")
 
 

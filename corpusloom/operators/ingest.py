@@ -42,12 +42,13 @@ def api_section(html: str, content_id: str, dropped: Sequence[str] = (), labels:
             inner = inner[: d.start()] + inner[d.end() + len(H.balanced(inner, d[1], d.end())) :]
     md = H.to_markdown(inner)[0]
     for label in labels:
-        md = re.sub(rf"[ \t]*{re.escape(label)}[ \t]*\n?", "\n", md)
+        around = rf"[\t ]*{re.escape(label)}[\t ]*\n?"
+        md = re.compile(around).sub("\n", md)
     for m in re.finditer(r"(?m)^## (.*)$", md):
         if m[1].strip() in ends:
             md = md[: m.start()]
             break
-    return re.sub(r"\n{3,}", "\n\n", md).strip()
+    return H.few_blanks(md)
 
 
 def api_pages(pages: DataFrame, name: str, content_id: str, html_col: str = "html", id_col: str = "page_id", **options) -> DataFrame:
@@ -94,7 +95,7 @@ def chapter(text: str | None, headings: Sequence[str] = ()) -> str:
     A line is a heading if the outline names it, or if it looks like a label, follows a break and no lower-case line follows."""
     known = {re.sub(r"\s+", " ", h).strip().lower() for h in headings}
     src = (text or "").replace("\f", "\n").split("\n")
-    out: list[str] = []
+    out = list[str]()
     open_ = False  # the last line of out is a paragraph or bullet that may go on
     for i, raw in enumerate(src):
         s = re.sub(r"\s+", " ", raw).strip()

@@ -36,7 +36,7 @@ def prose_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_ = lines(docs, id_col, text_col).where(~F.col("in_fence"))
     s = T.strip(F.col("line"))
     usable = open_.withColumn("_s", s).where((F.col("_s") != "") & ~F.col("_s").rlike(T.MARKER) & ~F.col("_s").startswith("#"))
-    row = F.col("_s").startswith("|") & ~F.col("_s").rlike(r"^\|?\s*[-:]+\s*\|")
+    row = F.col("_s").startswith("|") & ~F.col("_s").rlike(r"^\|?\s*[:-]+\s*[|]")
     whole = F.array(F.struct(F.lit(None).cast("int").alias("cell"), F.regexp_extract("line", r"^\s*", 0).alias("indent"), F.col("_s").alias("text")))
     cells = F.transform(F.split("line", r"[|]", -1), lambda c, k: F.when(T.is_prose_cell(c), F.struct(k.alias("cell"), F.lit("").alias("indent"), T.strip(c).alias("text"))))
     units = F.when(row, F.array_compact(cells)).when(T.is_prose(F.col("line")), whole)
@@ -66,8 +66,8 @@ def triage(scores: DataFrame) -> DataFrame:
     tier = F.when(little, "none").when(F.col("prose_units") <= 8, "light").when(F.col("prose_units") <= 25, "medium").otherwise("heavy")
     mode = F.when(little, "none").when(F.col("prose_ratio") < 0.35, "extract").otherwise("full")
     return scores.withColumns({
-        "faction": F.when(little, 1).otherwise(2), "tier": tier, "mode": mode,
-        "needs_cleanup": (F.col("chrome") > 0) | ~F.col("marker_ok"), "review": ~little & (F.col("prose_units") <= 3),
+        "mode": mode, "faction": F.when(little, 1).otherwise(2), "review": ~little & (F.col("prose_units") <= 3), "tier": tier,
+        "needs_cleanup": (F.col("chrome") > 0) | ~F.col("marker_ok"),
     })
 
 
@@ -121,7 +121,7 @@ def clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``actions`` lists what was done with counts, in a fixed order. Right-trimming and the collapse of blank lines reach into
     code unless ``clean_code`` is off. All in-row but for one regrouping of lines."""
     rows = lines(docs, id_col, text_col)
-    first = F.when(F.col("in_fence"), F.col("line")).otherwise(F.regexp_replace("line", r'Section titled\s+[“"][^”"]*[”"]\s*', ""))
+    first = F.when(F.col("in_fence"), F.col("line")).otherwise(F.regexp_replace("line", r'Section titled\s+["“][^"”]*["”]\s*', ""))
     second = F.when(F.col("in_fence"), first).otherwise(T.cruft_removed(first))
     rows = rows.withColumns({"_a": first, "_b": second})
     rows = rows.withColumn("_drop", ~F.col("in_fence") & T.is_chrome(F.col("_b")))

@@ -10,14 +10,14 @@ from corpusloom.functions import text as T
 from .lines import clean_text, code_blocks, lines, without_code
 from .overlap import gate_b
 
-HARD = ("code", "inline", "url", "ident")
+HARD = ("ident", "url", "inline", "code")
 UNITS = "%|px|fps|[kMG]?Hz|[mnuµ]?s|[KMGTk]B|dB(?:FS)?|bits?|bytes?|mm|cm|m|x"
 #: Category to (pattern, group).
 PATTERNS = {
     "inline": ((r"`([^`\n]+)`", 1),),
-    "url": ((r"""https?://[^\s)>\]}"']+""", 0), (r"\]\(\s*([^)\s]+)", 1)),
-    "ident": ((r"\b[A-Za-z][a-z0-9]+(?:[A-Z][a-z0-9]+)+[A-Za-z0-9]*\b", 0), (r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b", 0), (r"\b[A-Za-z_]\w*(?:::[A-Za-z_0-9]+)+\b", 0)),
-    "num": ((rf"(?<![\w.])\d[\d,]*(?:\.\d+)?(?:\s?(?:{UNITS})\b)?", 0),),
+    "url": ((r"""https?:/{2}[^)>}\]"'\s]+""", 0), (r"\]\(\s*([^\s)]+)", 1)),
+    "ident": ((r"\b[a-zA-Z][0-9a-z]+(?:[A-Z][0-9a-z]+)+[0-9A-Za-z]*\b", 0), (r"\b[A-Z][0-9A-Z]*(?:_[0-9A-Z]+)+\b", 0), (r"\b[_A-Za-z]\w*(?:::\w+)+\b", 0)),
+    "num": ((rf"(?<![.\w])[0-9][0-9,]*(?:[.][0-9]+)?(?:[\s]?(?:{UNITS})\b)?", 0),),
 }
 
 
@@ -31,7 +31,7 @@ def _found(category: str, prose: Column) -> Column:
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, category, token, n): the multiset of protected tokens of each document."""
-    prose = without_code(docs, id_col, text_col).select(id_col, F.regexp_replace("text", r"\\([_()\[\]*~#.`])", "$1").alias("p"))
+    prose = without_code(docs, id_col, text_col).select(id_col, F.regexp_replace("text", r"[\\]([`.#~*\[\]()_])", "$1").alias("p"))
     each = F.array(*[F.struct(F.lit(c).alias("category"), _found(c, F.col("p")).alias("t")) for c in PATTERNS])
     words = prose.select(id_col, F.inline(each)).select(id_col, "category", F.explode("t").alias("token"))
     code = code_blocks(docs, id_col, text_col).select(id_col, F.lit("code").alias("category"), T.strip(F.col("body")).alias("token")).where("token <> ''")

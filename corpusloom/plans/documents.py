@@ -12,9 +12,9 @@ from .registry import query
 
 NL = "chr(10)"
 STOP = "[" + ",".join(f"'{w}'" for w in T.STOPWORDS) + "]"
-CHROME_SQL = r"""(regexp_matches(line, '(?i)^\s*((back to top|on this page|print this page|table of contents|all rights reserved\.?|was this page helpful\??)\s*$|edit this page|licensed under\s|\(c\)\s+\d{4}|©.*(\d{4}|contributor|license|reserved)|(sponsor|support)\s+(us\s+)?on\s+open\s+collective|\[(sponsor on github|support on open collective)\]\(|\[[^\]]*previous\]\([^)]*\)\s*\[[^\]]*next\]\()') or regexp_matches(line, '^\s*Section titled\s+[“"].*[”"]\s*$'))"""
+CHROME_SQL = r"""(regexp_matches(line, '(?i)^\s*((back to top|on this page|print this page|table of contents|all rights reserved\.?|was this page helpful\??)\s*$|edit this page|licensed under\s|\(c\)\s+\d{4}|©.*(\d{4}|contributor|license|reserved)|(sponsor|support)\s+(us\s+)?on\s+open\s+collective|\[(sponsor on github|support on open collective)\]\(|\[[^\]]*previous[\]][(][^)]*[)]\s*\[[^\]]*next[\]][(])') or regexp_matches(line, '^\s*Section titled\s+["“].*["”]\s*$'))"""
 LINES_SQL = "select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents"
-PROSE_SQL = rf"""(s <> '' and not regexp_matches(s, '^(#|>|\||[-:]+\s*\|)') and not regexp_matches(s, '^\|?\s*[-:]+\s*\|') and not regexp_matches(s, '^[-*+]\s+`?\[?[\w./:-]+`?\]?\s*$')
+PROSE_SQL = rf"""(s <> '' and not regexp_matches(s, '^(#|>|\||[-:]+\s*\|)') and not regexp_matches(s, '^\|?\s*[:-]+\s*[|]') and not regexp_matches(s, '^[*+-]\s+`?\[?[-:/.\w]+`?\]?\s*$')
  and len(regexp_extract_all(lower(s), '[a-z]+')) >= 6 and list_has_any(regexp_extract_all(lower(s), '[a-z]+'), {STOP}))"""
 UNITS_SQL = rf"select doc_id, i, s as text from (select *, regexp_replace(line, '^\s+|\s+$', '', 'g') as s from ({LINES_SQL})) where {PROSE_SQL}"
 SCORES_SQL = rf"""select d.doc_id, round_even(case when total = 0 then 0 else coalesce(pw, 0) / total end, 3) as prose_ratio, coalesce(pw, 0)::bigint as prose_words, total as total_words, coalesce(pu, 0) as prose_units, coalesce(chrome, 0) as chrome, false as marker_ok
@@ -120,10 +120,10 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     rf"""with p as (select doc_id, regexp_replace(text, '```py\n[^`]*```\n', '') as p from ({MARKDOWN_SQL})),
  t as (select doc_id, 'inline' as category, unnest(regexp_extract_all(p, '`([^`\n]+)`', 1)) as token from p
- union all select doc_id, 'url', unnest(regexp_extract_all(p, 'https?://[^\s)>\]}}"'']+')) from p union all select doc_id, 'url', unnest(regexp_extract_all(p, '\]\(\s*([^)\s]+)', 1)) from p
- union all select doc_id, 'ident', unnest(regexp_extract_all(p, '\b[A-Za-z][a-z0-9]+(?:[A-Z][a-z0-9]+)+[A-Za-z0-9]*\b')) from p
- union all select doc_id, 'ident', unnest(regexp_extract_all(p, '\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b')) from p
- union all select doc_id, 'ident', unnest(regexp_extract_all(p, '\b[A-Za-z_]\w*(?:::[A-Za-z_0-9]+)+\b')) from p
+ union all select doc_id, 'url', unnest(regexp_extract_all(p, 'https?:/{{2}}[^)>}}\]"''\s]+')) from p union all select doc_id, 'url', unnest(regexp_extract_all(p, '\]\(\s*([^\s)]+)', 1)) from p
+ union all select doc_id, 'ident', unnest(regexp_extract_all(p, '\b[a-zA-Z][0-9a-z]+(?:[A-Z][0-9a-z]+)+[0-9A-Za-z]*\b')) from p
+ union all select doc_id, 'ident', unnest(regexp_extract_all(p, '\b[A-Z][0-9A-Z]*(?:_[0-9A-Z]+)+\b')) from p
+ union all select doc_id, 'ident', unnest(regexp_extract_all(p, '\b[_A-Za-z]\w*(?:::\w+)+\b')) from p
  union all select doc_id, 'code', concat('x = ', doc_id, chr(10), 'TODO inside') from p)
  select doc_id, category, token, count(*) as n from t group by all"""
 )
@@ -275,7 +275,7 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     rf"""with l as (select doc_id, i, line, regexp_replace(line, '^\s+|\s+$', '', 'g') as s from ({LINES_SQL}))
- select doc_id, i, regexp_matches(line, '^#{{2,}}\s') or (length(line) <= 90 and regexp_matches(line, '\*\*[^*]+\*\*\s*$')) as entry, length(s) between 2 and 55 and len(regexp_extract_all(s, '\S+')) <= 8 and not regexp_matches(s, '[.,:;)]$') and regexp_matches(s, '^[A-Z0-9("'']') as heading_like,
+ select doc_id, i, regexp_matches(line, '^#{{2,}}\s') or (length(line) <= 90 and regexp_matches(line, '[*]{{2}}[^*]+[*]{{2}}\s*$')) as entry, length(s) between 2 and 55 and len(regexp_extract_all(s, '\S+')) <= 8 and not regexp_matches(s, '[.,:;)]$') and regexp_matches(s, '^[A-Z0-9("'']') as heading_like,
  length(s) >= 5 and (contains(s, ' ') or regexp_matches(s, '[a-z][A-Z]') or contains(s, '.') or length(s) >= 10) as distinctive, contains(lower(line), 'license') or contains(lower(line), 'reserved') as banned from l where s <> ''"""
 )
 def line_predicates(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from corpusloom.operators import audit, ingest, packing
 from .registry import query
 
 PATH_SQL = r"""select page_id, case when len(p) > 1 and lower(p[len(p)]) in ('index', 'readme') then list_slice(p, 1, len(p) - 1) when len(p) = 0 then ['page'] else p end as p from (
- select page_id, list_transform(list_filter(string_split(url_decode(regexp_replace(url, '(?i)^[a-z]+://[^/]+/', '')), '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '(?i)\.(html?|jsx|json|md|rst|tsx?|txt)$', '')) as p from pages)"""
+ select page_id, list_transform(list_filter(string_split(url_decode(regexp_replace(url, '(?i)^[a-z]+:/{2}[^/]+/', '')), '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '(?i)\.(html?|jsx|json|md|rst|tsx?|txt)$', '')) as p from pages)"""
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +29,7 @@ def url_path(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select("page_id", F.array_join(p, "/").alias("path"), F.size(p).cast("bigint").alias("depth"))
 
 
-@query(r"select page_id, coalesce(nullif(lower(trim(regexp_replace(regexp_replace(url, '\.(md|html?)$', ''), '[^A-Za-z0-9]+', '-', 'g'), '-')), ''), 'page') as slug from pages")
+@query(r"select page_id, coalesce(nullif(lower(trim(regexp_replace(regexp_replace(url, '\.(md|html?)$', ''), '[^0-9A-Za-z]+', '-', 'g'), '-')), ''), 'page') as slug from pages")
 def slug(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select("page_id", T.slug(F.col("url")).alias("slug"))
 
