@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-1. Every n-gram of the test items is counted over all documents (number of documents that hold it).
-2. Each stretch of ``SPREAD`` n-grams of an item keeps as a seed the rarest one that some document holds, so that common
-   phrases seed nothing while a passage that was leaked into any number of documents still has seeds everywhere.
-3. A document's seed hits are grouped by item and diagonal; the passage around each group is aligned with the item.
+1. Every n-gram of a test item is a seed, however common: which of them survive in an edited copy is not known beforehand.
+2. A document's seed hits are grouped by item and diagonal; the passage around each group is aligned with the item.
    A word that is equal scores ``MATCH``; a replaced, added or missing one costs ``MISS``. The best local alignment of an
    item and a document is reported if it reaches ``share`` of the item's own score, or ``words`` matched words.
 
-Documents are read twice and never shuffled: seeds and items travel to them. They are broadcast in blocks of at most
+A copy without ``GRAM`` neighbouring words of its item is not aligned.
+
+Documents are read once and never shuffled: items travel to them. They are broadcast in blocks of at most
 ``BLOCK_ITEM_CHARS`` characters of items; a larger test set takes more passes, one for each block, and loses nothing.
 
 Defined results: a null, empty or wordless document or item matches nothing; an item shorter than n words is its own seed.
@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, blocks, free_name, hashed, map_texts, owners, pair, plain_words, tune
+from .common import WordHasher, free_name, hashed, map_texts, owners, pair, plain_words
 
-GRAM, SPREAD = 3, 4
+GRAM = 3
 MATCH, MISS = 2, 1
 SHARE, WORDS = 0.5, 13
 #: Characters of test items that one pass over the documents carries (about four times as many bytes are broadcast).
 BLOCK_ITEM_CHARS = 4_000_000
 _FILTER_BITS = 22
+#: Pairs of a seed hit and an item that are held at once; a document with more is a run of its own.
+_HITS = 500_000
 
 
 def grams(h: np.ndarray, own: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -68,21 +70,6 @@ class Items:
             self.size = np.append(self.size, counts[i])
         self.item = own[self.at] if len(own) else self.at
 
-    def seeds(self, df: dict[int, int]) -> np.ndarray:
-        """Indexes of the n-grams that are the rarest of some stretch; ties go to the first."""
-        n = np.fromiter((df.get(int(g), 0) for g in self.gram.view(np.int64)), np.int64, len(self.gram))
-        n[n == 0] = np.iinfo(np.int64).max  # what no document holds can find nothing
-        order = np.lexsort((self.at, self.item))
-        item = self.item[order]
-        begin = np.searchsorted(item, item)
-        stretch = (np.arange(len(order)) - begin) // SPREAD
-        ranked = np.lexsort((self.at[order], n[order], stretch, item))
-        first = np.ones(len(ranked), bool)
-        first[1:] = (item[ranked][1:] != item[ranked][:-1]) | (stretch[ranked][1:] != stretch[ranked][:-1])
-        keep = np.zeros(len(n), bool)
-        keep[order[ranked[first]]] = True
-        return np.flatnonzero(keep)
-
 
 class GramTable:
     """Which of a sorted table of n-grams each word of some texts starts, behind a bit filter."""
@@ -147,23 +134,35 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
 class Finder:
     """(item, score, first word, last word) of a text, for the test items of one block."""
 
-    def __init__(self, items: Items, seeds: np.ndarray, share: float, words: int):
+    def __init__(self, items: Items, share: float, words: int):
         self.items, self.share, self.words = items, share, words
-        order = np.argsort(items.gram[seeds], kind="stable")
-        self.seeds = seeds[order]
+        self.seeds = np.argsort(items.gram, kind="stable")
         self.keys = items.gram[self.seeds]
         self.table = GramTable(self.keys, items.size[self.seeds])
         self.hasher = WordHasher()
 
     def __call__(self, texts: list[str | None]) -> list:
-        it = self.items
         h, counts = hashed(texts, plain_words, self.hasher)
         own = owners(counts)
         place, gram = self.table.hits(h, own)
+        order = np.argsort(place, kind="stable")
+        place, gram = place[order], gram[order]
+        lo, hi = np.searchsorted(self.keys, gram, "left"), np.searchsorted(self.keys, gram, "right")
         found: list[list[dict]] = [[] for _ in texts]
         if not len(place):
             return [found]
-        lo, hi = np.searchsorted(self.keys, gram, "left"), np.searchsorted(self.keys, gram, "right")
+        first = np.flatnonzero(np.diff(own[place], prepend=-1))  # each document's first hit
+        ends, total = np.append(first[1:], len(place)), np.cumsum(hi - lo)
+        begin, before = 0, 0
+        for k, end in enumerate(ends):
+            if k + 1 == len(ends) or total[ends[k + 1] - 1] - before > _HITS:
+                self._align(h, counts, own, place[begin:end], lo[begin:end], hi[begin:end], found)
+                begin, before = end, total[end - 1]
+        return [found]
+
+    def _align(self, h: np.ndarray, counts: np.ndarray, own: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, found: list[list[dict]]) -> None:
+        """Add to ``found`` what the hits of some documents lead to; ``lo`` and ``hi`` bound the seeds that each hit equals."""
+        it = self.items
         n = hi - lo
         seed = self.seeds[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         place = np.repeat(place, n)
@@ -195,7 +194,6 @@ class Finder:
                 best[d, i] = row
         for (d, _), row in sorted(best.items(), key=lambda x: (x[0][0], x[0][1])):
             found[d].append(row)
-        return [found]
 
 
 def item_blocks(items: DataFrame, item_id: str, text_col: str, limit: int = BLOCK_ITEM_CHARS) -> Iterator[Items]:
@@ -213,31 +211,6 @@ def item_blocks(items: DataFrame, item_id: str, text_col: str, limit: int = BLOC
         yield Items(ids, texts)
 
 
-def document_counts(docs: DataFrame, items: Items, text_col: str = "text") -> dict[int, int]:
-    """Number of documents that hold each n-gram of the items, over the whole table; at most one entry for each n-gram
-    of the block. Each Arrow batch is counted before anything is shuffled."""
-    tune(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((items.gram, items.size))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hasher = GramTable(*shared.value), WordHasher()
-        total: dict[int, int] = {}
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in blocks(texts):
-                h, counts = hashed(texts[lo:hi], plain_words, hasher)
-                own = owners(counts)
-                place, gram = table.hits(h, own)
-                each = np.unique(np.stack([own[place].astype(np.uint64), gram]), axis=1)[1]
-                for g, n in zip(*np.unique(each.view(np.int64), return_counts=True)):
-                    total[int(g)] = total.get(int(g), 0) + int(n)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
-
-    got = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r[0]: r[1] for r in got.toLocalIterator()}
-
-
 _FOUND = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 
 
@@ -253,11 +226,10 @@ def leaks(
     out = docs
     parts: list[str] = []
     for block in item_blocks(items, item_id, item_text, block_chars):
-        seeds = block.seeds(document_counts(docs, block, text_col))
-        shared = sc.broadcast((block, seeds))
+        shared = sc.broadcast(block)
         name = free_name([*docs.columns, *parts, "leaks"], f"_leaks{len(parts)}")
         keep = [*dict.fromkeys([*names, text_col, *parts])]
-        out = map_texts(out, text_col, keep, [T.StructField(name, _FOUND)], lambda shared=shared: Finder(*shared.value, share, words))
+        out = map_texts(out, text_col, keep, [T.StructField(name, _FOUND)], lambda shared=shared: Finder(shared.value, share, words))
         parts.append(name)
     merged = F.concat(*[F.col(f"`{p}`") for p in parts]) if len(parts) > 1 else F.col(f"`{parts[0]}`") if parts else F.array().cast(_FOUND)
     return out.select(*[F.col(f"`{c}`") for c in names], merged.alias("leaks"))

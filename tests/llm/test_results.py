@@ -171,3 +171,21 @@ def test_edited_passages_are_found_in_blocks(spark, documents):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_pairs(df, bench, block_chars=3000).collect()}
     assert {(1000 + i, i) for i, _ in items} <= found
+
+
+def test_edited_copy_next_to_a_verbatim_one(spark):
+    words = [f"w{k}" for k in range(25)]
+    edited = [[f"e{k}" if k % step == step - 1 else w for k, w in enumerate(words)] for step in (4, 5, 6)]
+    rows = [(k, "some words before " + " ".join(w) + " and some after") for k, w in enumerate([words, *edited])]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(9, " ".join(words))], "item_id bigint, text string")
+    assert {r["doc_id"]: r["score"] for r in decontaminate.leaked_pairs(df, bench).collect()} == pytest.approx({0: 1.0, 1: (19 * 2 - 6) / 50, 2: (20 * 2 - 5 + 1) / 50, 3: (21 * 2 - 4) / 50})
+
+
+def test_hits_in_runs_of_documents(monkeypatch):
+    words = [f"w{k}" for k in range(20)]
+    items = decontaminate.Items([1, 2, 3], [" ".join(words), " ".join(words[5:] + ["x"] * 5), "w0"])
+    texts = ["none here", " ".join(words), None, "a b " + " ".join(words[3:]), "", " ".join(words[::-1]), " ".join(words) * 2]
+    want = decontaminate.Finder(items, 0.5, 13)(texts)
+    assert [len(x) for x in want[0]] == [0, 3, 0, 2, 0, 1, 3]
+    monkeypatch.setattr(decontaminate, "_HITS", 1)
+    assert decontaminate.Finder(items, 0.5, 13)(texts) == want
