@@ -4,7 +4,7 @@ A text's terms are its words and its pairs of neighbouring words. Every distinct
 hash, with a weight that grows with the logarithm of its count; pairs weigh more than words, which texts of one language
 share. The sign of each sum is a bit of the fingerprint, written as hex digits.
 
-Search within a Hamming radius: a fingerprint is cut into ``BLOCKS`` blocks. Two fingerprints that differ in at most
+Search within a Hamming radius: a fingerprint's digits are cut into ``BLOCKS`` blocks, as even as they can be. Two fingerprints that differ in at most
 ``radius`` bits agree in at least ``BLOCKS - radius`` whole blocks, so each choice of that many blocks is a table whose key
 moves those blocks to the front; a search looks up every table and verifies what it finds. A pair is reported by the
 first table that holds it. Equal fingerprints are one entry with a count, so copies are never expanded into pairs.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import WordHasher, blocks, hashed, map_texts, mix, owners, pair, plain_words, stored, tune
 
 BITS = 128
-BLOCKS, RADIUS = 4, 3
+BLOCKS, RADIUS = 7, 6
 WORD_WEIGHT, PAIR_WEIGHT = 1, 4
 _VOTE_TERMS = 100_000
 
@@ -100,11 +100,11 @@ def within_radius(queries: DataFrame, entries: DataFrame, radius: int = RADIUS,
     ``entries`` within the radius, itself included, with its number of rows. Both tables: a column fingerprint (hex)."""
     if not 0 <= radius < blocks_:
         raise ValueError("the radius must be below the number of blocks")
-    width = BITS // 4 // blocks_
+    cuts = [BITS // 4 * b // blocks_ for b in range(blocks_ + 1)]
     choices = tables(blocks_, radius)
 
     def part(col, b):
-        return F.substring(col, b * width + 1, width)
+        return F.substring(col, cuts[b] + 1, cuts[b + 1] - cuts[b])
 
     def half(col, k):
         hi, lo = F.conv(F.substring(col, 16 * k + 1, 8), 16, 10).cast("bigint"), F.conv(F.substring(col, 16 * k + 9, 8), 16, 10).cast("bigint")

@@ -189,3 +189,26 @@ def test_hits_in_runs_of_documents(monkeypatch):
     assert [len(x) for x in want[0]] == [0, 3, 0, 2, 0, 1, 3]
     monkeypatch.setattr(decontaminate, "_HITS", 1)
     assert decontaminate.Finder(items, 0.5, 13)(texts) == want
+
+
+def test_radius_holds_texts_with_a_replaced_word(spark, documents):
+    texts = [r["text"].split() for r in documents.orderBy("doc_id").select("text").collect()]
+    texts = [w for w in texts if 100 <= len(w) <= 600][:100]
+    rows = [(50 * k, " ".join(w)) for k, w in enumerate(texts)] + [(50 * k + 1, " ".join([*w[: len(w) // 2], "replaced", *w[len(w) // 2 + 1 :]])) for k, w in enumerate(texts)]
+    prints = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"), carry=["doc_id"])
+    pairs = {(r["fingerprint"], r["other"]) for r in fingerprints.within_radius(prints, prints).collect()}
+    got = {r["doc_id"]: r["fingerprint"] for r in prints.collect()}
+    found = sum((got[50 * k], got[50 * k + 1]) in pairs for k in range(len(texts))) / len(texts)
+    assert found > 0.6, found
+
+
+@pytest.mark.parametrize("blocks, radius", [(4, 3), (8, 6), (10, 8)])
+def test_block_tables_of_other_sizes(spark, blocks, radius):
+    import random
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(128) for _ in range(30)]
+    prints = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 12))) for b in base]
+    df = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
+    got = sorted((r["fingerprint"], r["other"]) for r in fingerprints.within_radius(df, df, radius, blocks).collect())
+    assert got == sorted({(f"{a:032x}", f"{b:032x}") for a in prints for b in prints if (a ^ b).bit_count() <= radius})
