@@ -54,6 +54,13 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return markdown(spark, sf).select(F.col("doc_id").alias("path"), t.alias("source"), edit.alias("working"))
 
 
+def with_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Markdown with a table after it, of which one cell is prose."""
+    i = F.col("doc_id").cast("string")
+    table = F.concat(F.lit("\n| name | what it is |\n| --- | --- |\n| item_"), i, F.lit(" | This is the cell of a table in document "), i, F.lit(" |"))
+    return markdown(spark, sf).withColumn("text", F.concat("text", table))
+
+
 @query(
     r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents), b as (select regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from benchmark),
  dg as (select doc_id, array_to_string(list_slice(w, i, i + 12), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d)),
@@ -128,10 +135,17 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
  select doc_id, category, token, count(*) as n from t group by all"""
 )
 def token_multiset(spark: SparkSession, sf: str) -> DataFrame:
-    """A1 on the markdown of every document (numbers need a look-behind that the other dialect lacks; tests cover them)."""
+    """A1 on the markdown of every document, without numbers: they need a look-behind that the other dialect lacks.
+    ``protected_tokens`` has all categories."""
     return protected.tokens(markdown(spark, sf)).where("category <> 'num'")
 
 
+@query()
+def protected_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 on the markdown of every document, all categories."""
+    return protected.tokens(markdown(spark, sf))
+
+
 @query(
     f"""select doc_id as path, case when doc_id % 4 = 1 then 1 else 0 end::bigint as hard_lost, doc_id % 4 <> 1 as passed from documents""",
 )
@@ -182,6 +196,12 @@ def extract_packets(spark: SparkSession, sf: str) -> DataFrame:
     return lines.extract(markdown(spark, sf)).where("cell is null").select("doc_id", "i", "heading", "text", "total_lines")
 
 
+@query()
+def extract_packets_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """G5 with the cells of table rows, on markdown with a table."""
+    return lines.extract(with_table(spark, sf))
+
+
 @query(
     rf"""with u as (select doc_id, min(i) as i, count(*) as n from ({UNITS_SQL}) group by 1), l as (select * from ({LINES_SQL}))
  select l.doc_id, array_to_string(list(case when l.i = u.i then concat(regexp_extract(line, '^\s*'), 'Rewritten ', l.doc_id, '.') else line end order by l.i), chr(10)) as text,
@@ -195,6 +215,14 @@ def splice(spark: SparkSession, sf: str) -> DataFrame:
     return lines.splice(d, first.unionByName(stray))
 
 
+@query()
+def splice_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every prose unit of markdown with a table is rewritten, lines and cells."""
+    d = with_table(spark, sf)
+    new = F.concat(F.lit("Rewritten "), F.concat_ws("/", "i", "cell"), F.lit("."))
+    return lines.splice(d, lines.prose_units(d).select("doc_id", "i", "cell", new.alias("text")))
+
+
 @query(rf"select doc_id, 10 + length(text) - length(replace(text, chr(10), '')) as line_no, concat('TODO finish ', doc_id) as line from documents")
 def placeholder_lines(spark: SparkSession, sf: str) -> DataFrame:
     return audit.placeholders(markdown(spark, sf))

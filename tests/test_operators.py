@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
 from corpusloom.operators import audit, building, graph, ingest, lines, overlap, packing, protected, records
+from corpusloom.plans import documents as plans
+from corpusloom.plans import registry
 from corpusloom.sources import files
 from corpusloom.streaming import gates
 
@@ -222,3 +224,37 @@ def test_building(spark):
     assert got == [(0, "s-p.md", "P", 1, 6), (1, "s-q.md", "Q", 1, 6), (2, "s-t2.md", "B, C", 2, 5)]
     assert building.replaced_section("# A\n\n## L\nold\n### sub\n## Z\nz", "## L", "new") == "# A\n\n## L\n\nnew\n\n## Z\nz\n"
     assert building.replaced_section("# A", "## L", "new") == "# A\n\n## L\n\nnew\n"
+
+
+def test_numbers_of_every_document(spark, sf):
+    units = "%|px|fps|[kMG]?Hz|[mnuµ]?s|[KMGTk]B|dB(?:FS)?|bits?|bytes?|mm|cm|m|x"
+    number = re.compile(rf"(?<![.\w])[0-9][0-9,]*(?:[.][0-9]+)?(?:\s?(?:{units})\b)?", re.ASCII)
+    want = {}
+    for r in plans.markdown(spark, sf).collect():
+        prose = re.sub(r"\\([`.#~*\[\]()_])", r"\1", re.sub(r"```py\n.*?```\n", "", r["text"], flags=re.S))
+        for m in number.findall(prose):
+            key = r["doc_id"], "num", m.strip()
+            want[key] = want.get(key, 0) + 1
+    got = {(r["doc_id"], r["category"], r["token"]): r["n"] for r in registry.QUERIES["protected_tokens"](spark, sf).collect()}
+    assert {k: n for k, n in got.items() if k[1] == "num"} == want and {k[0] for k in want} == {k[0] for k in got}
+    rest = {(r["doc_id"], r["category"], r["token"]): r["n"] for r in registry.QUERIES["token_multiset"](spark, sf).collect()}
+    assert {k: n for k, n in got.items() if k[1] != "num"} == rest
+
+
+def test_cells_of_every_document(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in plans.with_table(spark, sf).collect()}
+    got = registry.QUERIES["extract_packets_cells"](spark, sf).collect()
+    cells = {r["doc_id"]: (r["i"], r["cell"], r["text"], r["total_lines"]) for r in got if r["cell"] is not None}
+    last = {i: t.count("\n") for i, t in docs.items()}
+    assert cells == {i: (last[i], 2, f"This is the cell of a table in document {i}", last[i] + 1) for i in docs}
+    whole = {(r["doc_id"], r["i"], r["text"]) for r in got if r["cell"] is None}
+    assert whole == {(r["doc_id"], r["i"], r["text"]) for r in registry.QUERIES["extract_packets"](spark, sf).collect()}
+    want = {}
+    for i, t in docs.items():
+        rows = t.split("\n")
+        mine = [k for j, k, _ in whole if j == i]
+        for k in mine:
+            rows[k] = re.match(r"\s*", rows[k])[0] + f"Rewritten {k}."
+        rows[-1] = f"| item_{i} | Rewritten {last[i]}/2. |"
+        want[i] = ("\n".join(rows), len(mine) + 1, 0, 0)
+    assert {r["doc_id"]: (r["text"], r["replaced"], r["skipped_non_prose"], r["left_verbatim"]) for r in registry.QUERIES["splice_cells"](spark, sf).collect()} == want
