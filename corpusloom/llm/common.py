@@ -36,19 +36,34 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, which only a session on
+    this machine alone may use."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the application ends."""
+    sc = spark.sparkContext
+    where = f"{shared_dir(spark)}/corpusloom-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return where
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,6 +87,14 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+def aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the columns that an operator's outputs would replace under other names, and its columns as they were."""
+    low, new = {n.lower() for n in names}, {}
+    for c in df.columns:
+        new[c] = free_name([*df.columns, *names, *new.values()], c) if c.lower() in low else c
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), [F.col(f"`{n}`").alias(c) for c, n in new.items()]
+
+
 def blocks(texts: Sequence[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold at most ``limit`` characters, or one longer text."""
     start, total = 0, 0
@@ -225,23 +248,27 @@ def ordered_table(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 
 
 def lookup(values: dict[int, int], key: Column, default: int = 0) -> Column:
-    """A table with one small number for each partition, as an expression."""
+    """A table with one number for each partition, as one literal."""
     if not values:
         return F.lit(default).cast("bigint")
-    top = max(values)
-    listed = F.array(*[F.lit(int(values.get(i, default))).cast("bigint") for i in range(top + 1)])
+    listed = F.split(F.lit(",".join(str(int(values.get(i, default))) for i in range(max(values) + 1))), ",").cast("array<bigint>")
     return F.coalesce(F.try_element_at(listed, (key + 1).cast("int")), F.lit(default).cast("bigint"))
 
 
-def numbered(df: DataFrame, order: Sequence[str], out: str, name: str) -> DataFrame:
-    """Number the rows 0, 1, ... in global order; only one count for each partition reaches the driver."""
+def numbered(df: DataFrame, order: Sequence[str], out: str, name: str, weight: Column | None = None) -> DataFrame:
+    """Number the rows 0, 1, ... in global order, or by the sum of the weights before each; only one number for each
+    partition reaches the driver."""
+    from pyspark.sql import Window as W
+
     got = ordered_table(df, order, name)
-    counts = {r[0]: r[1] for r in got.groupBy("_p").count().collect()}
-    base, total = {}, 0
-    for p in sorted(counts):
-        base[p] = total
-        total += counts[p]
-    return got.withColumn(out, lookup(base, F.col("_p")) + F.col("_n")).drop("_p", "_n")
+    total = F.count("*") if weight is None else F.sum(weight)
+    sums = {r[0]: r[1] for r in got.groupBy("_p").agg(total).collect()}
+    base, before = {}, 0
+    for p in sorted(sums):
+        base[p] = before
+        before += sums[p]
+    own = F.col("_n") if weight is None else F.coalesce(F.sum(weight).over(W.partitionBy("_p").orderBy("_n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return got.withColumn(out, lookup(base, F.col("_p")) + own).drop("_p", "_n")
 
 
 #: Keys with more than this share of all rows are hot; there can be no more of them than its inverse.

@@ -13,7 +13,8 @@ included. Matches are found in the texts as they were, so the result depends on
 3. Longest common prefixes of neighbours in the suffix array: only those that don't follow from the preceding line's
    (irreducible ones, whose lengths sum up to n log n at most) are compared, in slices of growing length.
 4. LCP intervals: a monotonic stack passes over the array in both directions and finds for each suffix the longest prefix
-   that an earlier position shares. Partitions exchange only their stacks, whose size is bounded by the longest document.
+   that an earlier position shares. Partitions exchange only their stacks, each at most as long as the longest repeated run
+   that crosses their border.
 
 Defined results: null and empty texts have no lines and stay as they are; a document that loses all lines becomes empty.
 Lines are compared without white space at their ends. Ties of ids are ordered by text; of wholly equal rows one keeps its
@@ -36,8 +37,6 @@ from .common import hot_join, lookup, map_texts, numbered, ordered_table, stored
 
 MIN_WORDS = 30
 OUTPUTS = ("n_lines", "n_removed", "removed")
-#: Bits of a position that number the lines of a segment.
-OFFSET_BITS = 24
 _FOREVER = 1 << 62
 
 
@@ -127,10 +126,11 @@ def _ranked(items: DataFrame, keys: Sequence[str], name: str) -> tuple[DataFrame
 
 
 def suffix_array(segments: DataFrame) -> DataFrame:
-    """(pos, s, off, left, r, same, _p, _n) of (s, ids): every suffix in order; equal suffixes in order of pos."""
+    """(pos, s, off, left, r, same, _p, _n) of (s, ids): every suffix in order; equal suffixes in order of pos.
+
+    ``s``: the position of a segment's first line, so a line's position is s + off."""
     items = segments.select("s", F.size("ids").alias("size"), F.posexplode("ids").alias("off", "h"))
-    pos = F.shiftleft(F.col("s"), OFFSET_BITS) + F.col("off")
-    items = items.select("s", "off", pos.alias("pos"), (F.col("size") - F.col("off")).alias("left"), "h")
+    items = items.select("s", "off", (F.col("s") + F.col("off")).alias("pos"), (F.col("size") - F.col("off")).alias("left"), "h")
     longest = items.agg(F.max("left")).first()[0] or 0
     width = 1
     got, undecided = _ranked(items.withColumn("open", F.col("left") > width), ["h"], "lines")
@@ -145,62 +145,64 @@ def suffix_array(segments: DataFrame) -> DataFrame:
 
 
 def _neighbours(array: DataFrame) -> DataFrame:
-    """The first of each set of equal suffixes, with ``prev``: the position of the one before in the suffix array."""
+    """The first of each set of equal suffixes, with ``prev`` and ``ps``: the position of the one before in the suffix array
+    and that of its segment."""
     heads = array.where(~F.col("same"))
-    lag = F.lag("pos").over(W.partitionBy("_p").orderBy("_n"))
-    ends = {r[0]: r[1] for r in heads.groupBy("_p").agg(F.max_by("pos", "_n")).collect()}
-    before, last = {}, -1
+    w = W.partitionBy("_p").orderBy("_n")
+    ends = {r[0]: r[1] for r in heads.groupBy("_p").agg(F.max_by(F.struct("pos", "s"), "_n")).collect()}
+    before: tuple[dict, dict] = ({}, {})
+    last = (-1, -1)
     for p in range(max(ends, default=-1) + 1):
-        before[p] = last
+        before[0][p], before[1][p] = last
         last = ends.get(p, last)
-    return heads.select("pos", "s", "off", "_p", "_n", F.coalesce(lag, lookup(before, F.col("_p"), -1)).alias("prev"))
+    prev, ps = (F.coalesce(F.lag(c).over(w), lookup(x, F.col("_p"), -1)) for c, x in zip(("pos", "s"), before))
+    return heads.select("pos", "s", "off", "_p", "_n", prev.alias("prev"), ps.alias("ps"))
 
 
 def _common_prefix(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(pos, lcp) of (pos, prev): equal line IDs from both positions on, within their segments."""
-    mask = (1 << OFFSET_BITS) - 1
-    todo = pairs.select("pos", "prev", F.lit(0).alias("lcp"))
-    table = segments.select("s", "ids")
+    todo = pairs.select("pos", "s", "prev", "ps", F.lit(0).alias("lcp"))
+    table = segments.select(F.col("s").alias("_s"), "ids")
     done: DataFrame | None = None
     chunk = 16
     while True:
-        def slice_of(col, chunk=chunk):
-            return F.slice("ids", (F.col(col).bitwiseAND(mask) + F.col("lcp") + 1).cast("int"), F.lit(chunk))
+        def slice_of(at, s, chunk=chunk):
+            return F.slice("ids", (F.col(at) - F.col(s) + F.col("lcp") + 1).cast("int"), F.lit(chunk))
 
-        a = todo.withColumn("s", F.shiftright("pos", OFFSET_BITS)).join(table, "s").withColumn("a", slice_of("pos")).drop("s", "ids")
-        b = a.withColumn("s", F.shiftright("prev", OFFSET_BITS)).join(table, "s").withColumn("b", slice_of("prev")).drop("s", "ids")
+        a = todo.join(table, F.col("s") == F.col("_s")).withColumn("a", slice_of("pos", "s")).drop("_s", "ids")
+        b = a.join(table, F.col("ps") == F.col("_s")).withColumn("b", slice_of("prev", "ps"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 n = []
-                for p, q in zip(x.column(3).to_pylist(), x.column(4).to_pylist()):
+                for p, q in zip(x.column(5).to_pylist(), x.column(6).to_pylist()):
                     k, m = 0, min(len(p), len(q))
                     while k < m and p[k] == q[k]:
                         k += 1
                     n.append(k)
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), pa.array(n, pa.int32())], ["pos", "prev", "lcp", "more"])
+                yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(5)), pa.array(n, pa.int32())], ["pos", "s", "prev", "ps", "lcp", "more"])
 
-        step = stored(b.select("pos", "prev", "lcp", "a", "b").mapInArrow(run, "pos bigint, prev bigint, lcp int, more int"), "lcp")
+        step = stored(b.select("pos", "s", "prev", "ps", "lcp", "a", "b").mapInArrow(run, "pos bigint, s bigint, prev bigint, ps bigint, lcp int, more int"), "lcp")
         part = step.where(F.col("more") < chunk).select("pos", (F.col("lcp") + F.col("more")).alias("lcp"))
         done = part if done is None else done.unionByName(part)
-        todo = step.where(F.col("more") == chunk).select("pos", "prev", (F.col("lcp") + F.col("more")).alias("lcp"))
+        todo = step.where(F.col("more") == chunk).select("pos", "s", "prev", "ps", (F.col("lcp") + F.col("more")).alias("lcp"))
         if not todo.limit(1).count():
             return done
         chunk *= 8
 
 
 def adjacent_lcp(heads: DataFrame, segments: DataFrame) -> DataFrame:
-    """(_p, _n, pos, lcp) of the neighbours in the suffix array. A suffix whose preceding line continues the same match needs
+    """(_p, _n, pos, s, lcp) of the neighbours in the suffix array. A suffix whose preceding line continues the same match needs
     no comparison: its common prefix is one shorter than that of the suffix before it in the text."""
     w = W.partitionBy("s").orderBy("off")
-    inner = F.col("prev").bitwiseAND((1 << OFFSET_BITS) - 1) > 0
+    inner = F.col("prev") > F.col("ps")
     follows = (F.lag("off").over(w) == F.col("off") - 1) & (F.lag("prev").over(w) == F.col("prev") - 1) & inner
     rows = stored(heads.withColumn("follows", F.coalesce(follows, F.lit(False))), "neighbours")
     known = _common_prefix(rows.where(~F.col("follows") & (F.col("prev") >= 0)), segments)
     got = rows.join(known, "pos", "left").withColumn("lcp", F.when(~F.col("follows"), F.coalesce("lcp", F.lit(0))))
     start = F.last(F.when(~F.col("follows"), F.struct("off", "lcp")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     got = got.withColumn("_start", start)
-    return got.select("_p", "_n", "pos", F.greatest(F.lit(0), F.col("_start.lcp") - (F.col("off") - F.col("_start.off"))).cast("int").alias("lcp"))
+    return got.select("_p", "_n", "pos", "s", F.greatest(F.lit(0), F.col("_start.lcp") - (F.col("off") - F.col("_start.off"))).cast("int").alias("lcp"))
 
 
 def _pass(pos: Sequence[int], link: Sequence[int], stack: list[tuple[int, int]]) -> list[int]:
@@ -225,13 +227,17 @@ def _clip(stack: list[tuple[int, int]], m: int) -> None:
 
 
 def longest_previous(lcp: DataFrame) -> DataFrame:
-    """(pos, length): the longest prefix of each suffix that begins at an earlier position as well."""
-    tune(lcp.sparkSession)
+    """(pos, s, length): the longest prefix of each suffix that begins at an earlier position as well.
+
+    The driver joins the partitions' stacks one after the other and gives each partition the one it starts with, as a row
+    of its own in front, so that no task gets another's."""
+    spark = lcp.sparkSession
+    tune(spark)
     lcp = stored(lcp, "lcps")
-    rows = lcp.repartition("_p").sortWithinPartitions("_p", "_n").select("_p", "pos", "lcp")
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[int]]]:
-        held, pos, link = None, [], []
+    def groups(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[tuple[int, list, list, list, list]]:
+        """Partition, positions, segments, links and the carried stacks."""
+        held, pos, seg, link, carried = None, [], [], [], []
         for b in batches:
             ps = b.column(0).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff(ps)) + 1
@@ -239,16 +245,20 @@ def longest_previous(lcp: DataFrame) -> DataFrame:
                 if hi == lo:
                     continue
                 if held is not None and ps[lo] != held:
-                    yield held, pos, link
-                    pos, link = [], []
+                    yield held, pos, seg, link, carried
+                    pos, seg, link, carried = [], [], [], []
                 held = int(ps[lo])
-                pos += b.column(1).slice(lo, hi - lo).to_pylist()
-                link += b.column(2).slice(lo, hi - lo).to_pylist()
+                if wide and b.column(1)[int(lo)].as_py() < 0:
+                    carried = [b.column(k)[int(lo)].as_py() for k in range(4, 9)]
+                    lo += 1
+                pos += b.column(2).slice(lo, hi - lo).to_pylist()
+                seg += b.column(3).slice(lo, hi - lo).to_pylist()
+                link += b.column(9 if wide else 4).slice(lo, hi - lo).to_pylist()
         if held is not None:
-            yield held, pos, link
+            yield held, pos, seg, link, carried
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, pos, link in groups(batches):
+        for p, pos, _, link, _ in groups(batches, False):
             up: list[tuple[int, int]] = []
             down: list[tuple[int, int]] = []
             _pass(pos, link, up)
@@ -258,7 +268,11 @@ def longest_previous(lcp: DataFrame) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32(), *[pa.int64()] * 4, *[longs] * 4])], ["p", "low", "inner", "first", "least", "up", "upl", "down", "downl"])
 
+    def arranged(df: DataFrame) -> DataFrame:
+        return df.repartition("_p").sortWithinPartitions("_p", "_n")
+
     longs = "array<bigint>"
+    rows = arranged(lcp.select("_p", "_n", "pos", "s", "lcp"))
     said = sorted(rows.mapInArrow(ends, f"p int, low bigint, inner bigint, first bigint, least bigint, up {longs}, upl {longs}, down {longs}, downl {longs}").collect(), key=lambda r: r["p"])
     carry: dict[int, list] = {r["p"]: [[], [], 0] for r in said}
     stack: list[tuple[int, int]] = []
@@ -272,16 +286,17 @@ def longest_previous(lcp: DataFrame) -> DataFrame:
         _clip(stack, min(link, r["inner"]))
         stack = [x for x in stack if x[0] < r["least"]] + list(zip(r["down"], r["downl"]))
         link = r["first"]
-    shared = lcp.sparkSession.sparkContext.broadcast(carry)
+    front = [(p, -1, [x[0] for x in up], [x[1] for x in up], [x[0] for x in down], [x[1] for x in down], behind) for p, (up, down, behind) in carry.items()]
+    front = spark.createDataFrame(front, f"_p int, _n bigint, up {longs}, upl {longs}, down {longs}, downl {longs}, behind bigint")
+    both = arranged(lcp.unionByName(front, allowMissingColumns=True)).select("_p", "_n", "pos", "s", "up", "upl", "down", "downl", "behind", "lcp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, pos, link in groups(batches):
-            up, down, behind = shared.value[p]
-            a = _pass(pos, link, list(up))
-            b = _pass(pos[::-1], [behind, *link[:0:-1]], list(down))[::-1]
-            yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array([min(max(x, y), 1 << 30) for x, y in zip(a, b)], pa.int32())], ["pos", "length"])
+        for _, pos, seg, link, (up, upl, down, downl, behind) in groups(batches, True):
+            a = _pass(pos, link, list(zip(up, upl)))
+            b = _pass(pos[::-1], [behind, *link[:0:-1]], list(zip(down, downl)))[::-1]
+            yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(seg, pa.int64()), pa.array([min(max(x, y), 1 << 30) for x, y in zip(a, b)], pa.int32())], ["pos", "s", "length"])
 
-    return rows.mapInArrow(run, "pos bigint, length int")
+    return both.mapInArrow(run, "pos bigint, s bigint, length int")
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -291,14 +306,14 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first, copies = _first_of_equal(_segments(items, min_words), "segments")
     first, more = _first_of_equal(_segments(_flat(first), min_words), "segments2")
     copies = copies.unionByName(more)
-    segments = numbered(first, ["d", "start"], "s", "segments3")
+    segments = numbered(first, ["d", "start"], "s", "segments3", F.size("ids").cast("bigint"))
     if not segments.limit(1).count():
         return copies
     array = suffix_array(segments)
     heads = _neighbours(array)
     found = longest_previous(adjacent_lcp(heads, segments)).where("length > 0")
-    equal = array.where("same").select("pos", F.col("left").cast("int").alias("length"))
-    found = found.unionByName(equal).select(F.shiftright("pos", OFFSET_BITS).alias("s"), F.col("pos").bitwiseAND((1 << OFFSET_BITS) - 1).cast("int").alias("off"), "length")
+    equal = array.where("same").select("pos", "s", F.col("left").cast("int").alias("length"))
+    found = found.unionByName(equal).select("s", (F.col("pos") - F.col("s")).cast("int").alias("off"), "length")
     per = found.groupBy("s").agg(F.collect_list("off").alias("off"), F.collect_list("length").alias("length"))
     rows = per.join(segments.select("s", "d", "words", "at"), "s").select("d", "off", "length", "words", "at")
 
