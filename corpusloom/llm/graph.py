@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is an aggregate (combined before its shuffle) and an equi-join, so a hub with any number of neighbours is
-never gathered in one task; the number of rounds is logarithmic in practice. Each round is written to the shared folder.
+Every step is an aggregate (combined before its shuffle) and a join with one row for each node. Hubs, of which there can be
+few, are broadcast in it (``hot_join``), so a hub's edges stay where they are; the number of rounds is logarithmic in
+practice. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_join, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,10 +23,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both.where("v > u"), low, "u", "n", 2 * mark[0], ["m"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = hot_join(large, low2, "u", "n", 2 * mark[0], ["m"])
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
         e = stored(small, "edges")
         new = _mark(e)
