@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, running_sum, stored, without
+from .common import free_name, hot_join, running_sum, stored, without
 
 SHARES = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -31,6 +31,11 @@ MOST_EPOCHS = 3
 QUALITY_WEIGHTS = {1: 2.0, 0: 0.5}
 #: Rows of one bucket of the prefix sum, on average.
 BUCKET_ROWS = 20_000
+#: A bucket is a share of the mean distribution of keys over these weights, so none holds more than 2 * 9 times its part of
+#: the documents whose weights lie among them.
+BUCKET_WEIGHTS = tuple(2.0**k for k in range(-4, 5))
+#: Sources up to which their table is broadcast.
+BROADCAST_SOURCES = 100_000
 OUTPUTS = ("size", "source_size", "target", "taken")
 
 
@@ -87,11 +92,15 @@ def mix(
     base = stored(base, "mix")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = stored(source_targets(sizes, shares, most), "targets")
-    # Keys of weight 1 fall evenly into buckets of 1 - exp(-key); other weights only shift how full a bucket is.
-    buckets = targets.select(F.col("source").alias("_s"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("_rows") / BUCKET_ROWS)).alias("_buckets"))
-    joined = base.join(F.broadcast(buckets) if targets.count() <= 100_000 else buckets, base["source"].eqNullSafe(buckets["_s"])).drop("_s")
-    joined = joined.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.col("_buckets")).cast("bigint"))
-    joined = joined.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    buckets = targets.select(F.col("source").alias("_s"), "_rows", "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("_rows") / BUCKET_ROWS)).alias("_buckets"))
+    name = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
+    buckets, base = buckets.withColumn("_source", name(F.col("_s"))).drop("_s"), base.withColumn("_source", name(F.col("source")))
+    if targets.count() <= BROADCAST_SOURCES:
+        joined = base.join(F.broadcast(buckets), "_source")
+    else:
+        joined = hot_join(base, buckets, "_source", "_rows", base.count(), ["source_size", "target", "_buckets"])
+    spread = sum((1 - F.exp(-F.col("_key") * w) for w in BUCKET_WEIGHTS), F.lit(0.0)) / len(BUCKET_WEIGHTS)
+    joined = joined.withColumn("_bucket", F.floor(spread * F.col("_buckets")).cast("bigint"))
     summed = running_sum(joined, ["_source"], ["_key", "_id", "size"], "_bucket", "size", "_before")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     budget = F.floor(F.col("target") - epochs * F.col("source_size")).cast("bigint")
