@@ -18,7 +18,7 @@ set behind its first character, so none remains; ``unescape`` takes the characte
 code points [start, end) of the escaped assistant texts within the formatted string.
 
 Defined results: null texts and roles count as empty. An empty text makes a turn (and an empty loss span for an assistant).
-Events of a null conversation form one conversation with null id. Ties of seq go by event name, then text. Repeated
+Events of a null conversation form one conversation with null id. A null seq (or turn) comes after all others. Ties of seq go by event name, then text. Repeated
 ``delta`` events count each. Events of an unknown kind are ignored; a message with no ``message`` event has an empty role
 unless another event names one. A conversation whose messages are all deleted gives no row; an empty log gives no rows.
 Further columns are ignored.
@@ -54,9 +54,11 @@ def unescape(text: str) -> str:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, place, message_id, role, text): the final messages. ``place`` is the seq of a message's first event."""
+    """(conv_id, place, message_id, role, text): the final messages. ``place``: whether the seq of a message's first event is null, and
+    that seq."""
+    seq = F.struct(F.col("seq").isNull(), F.col("seq"))
     e = events.select(
-        "conv_id", "seq", "message_id", F.col("event").cast("string").alias("event"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        "conv_id", seq.alias("seq"), "message_id", F.col("event").cast("string").alias("event"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).where(F.col("event").isin(*_RESETS, "delta"))
     order = F.struct("seq", "event", "text")
     reset = F.col("event").isin(*_RESETS)
@@ -140,5 +142,5 @@ def events_of(conversations: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    n = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    n = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
     return conversations.select("conv_id", F.col("turn").alias("seq"), F.struct(F.col("turn"), n.alias("n")).alias("message_id"), F.lit("message").alias("event"), "role", "text")

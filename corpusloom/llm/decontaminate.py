@@ -216,23 +216,23 @@ _FOUND = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.Struct
 
 def leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    share: float = SHARE, words: int = WORDS, carry: tuple[str, ...] | None = None, block_chars: int = BLOCK_ITEM_CHARS,
+    share: float = SHARE, words: int = WORDS, carry: tuple[str, ...] | None = None, block_chars: int = BLOCK_ITEM_CHARS, output: str = "leaks",
 ) -> DataFrame:
-    """``docs`` (or its ``carry`` columns) with ``leaks``: an array of (item, score, first, last) for each document, empty
+    """``docs`` (or its ``carry`` columns) with ``leaks`` (or another name; a column of that name is replaced): an array of (item, score, first, last) for each document, empty
     where clean. ``first`` and ``last`` bound the passage in words, last exclusive."""
     sc = docs.sparkSession.sparkContext
     names = docs.columns if carry is None else list(carry)
-    names = [c for c in names if c.lower() != "leaks"]
+    names = [c for c in names if c.lower() != output.lower()]
     out = docs
     parts: list[str] = []
     for block in item_blocks(items, item_id, item_text, block_chars):
         shared = sc.broadcast(block)
-        name = free_name([*docs.columns, *parts, "leaks"], f"_leaks{len(parts)}")
+        name = free_name([*docs.columns, *parts, output], f"_leaks{len(parts)}")
         keep = [*dict.fromkeys([*names, text_col, *parts])]
         out = map_texts(out, text_col, keep, [T.StructField(name, _FOUND)], lambda shared=shared: Finder(shared.value, share, words))
         parts.append(name)
     merged = F.concat(*[F.col(f"`{p}`") for p in parts]) if len(parts) > 1 else F.col(f"`{parts[0]}`") if parts else F.array().cast(_FOUND)
-    return out.select(*[F.col(f"`{c}`") for c in names], merged.alias("leaks"))
+    return out.select(*[F.col(f"`{c}`") for c in names], merged.alias(output))
 
 
 def leaked_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -244,4 +244,5 @@ def leaked_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **op
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no test item, with their columns."""
     names = docs.columns
-    return leaks(docs, items, **options).where(F.size("leaks") == 0).select(*[F.col(f"`{c}`") for c in names])
+    held = free_name(names, "leaks")
+    return leaks(docs, items, output=held, **options).where(F.size(held) == 0).select(*[F.col(f"`{c}`") for c in names])

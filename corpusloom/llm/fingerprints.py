@@ -193,8 +193,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = sorted(r[0] for r in made.where("role = 'first'").select("part").collect())  # one number a partition
     follows = {p: ends[(i + 1) % len(ends)] for i, p in enumerate(ends)}
     pairs = docs.sparkSession.createDataFrame(list(follows.items()) or [(-1, -1)], "part int, next int")
-    joints = made.where("role = 'last'").select("part", F.col("_id"), F.col("text")).join(pairs, "part")
-    joints = joints.join(made.where("role = 'first'").select(F.col("part").alias("next"), F.col("text").alias("next_text")), "next").select("_id", "text", "next_text")
+    joints = made.where("role = 'last'").select("part", F.col("_id"), F.col("text")).join(F.broadcast(pairs), "part")
+    # Two texts a partition: shuffled, since a text has no bound.
+    joints = joints.join(made.where("role = 'first'").select(F.col("part").alias("next"), F.col("text").alias("next_text")).hint("merge"), "next").select("_id", "text", "next_text")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finger = Fingerprinter()

@@ -7,7 +7,8 @@ sequence likelihood (forward-backward), from sequences that switch between the t
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0. Texts of any length are labelled
 whole. Repeated rows are labelled alike. An empty table gives no rows; without a usable training row everything is
-``und``. Input columns that clash with an output's name are replaced.
+``und``. Of labels with equal mass the first in code point order is named. A null id belongs to no fold, so it is
+learned from. Input columns that clash with an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _CACHE = 200_000
 
 
+def has_letter(text: str | None) -> bool:
+    """Fractions and raised digits match the pattern's class as well, but are no letters."""
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of the words, flat, and the first feature of each word."""
     marked = "".join([f"\x02{w}\x03" for w in words])
@@ -215,7 +221,7 @@ class Labeller:
 
     def __call__(self, texts: list[str | None]) -> list:
         labels = self.model["labels"]
-        usable = [bool(t and _LETTER.search(t)) and bool(labels) for t in texts]
+        usable = [bool(labels) and has_letter(t) for t in texts]
         post, lens, _ = self.posteriors([t if u else None for t, u in zip(texts, usable)])
         mass = np.zeros((len(texts), max(1, len(labels))))
         some = lens > 0

@@ -127,3 +127,42 @@ def test_chat_edges(spark):
     out = {r["conv_id"]: r for r in chat_format.read_back(chat_format.render(chat_format.fold(chat_format.events_of(spark.createDataFrame(rows, schema))))).collect()}
     assert out[1]["n_turns"] == 2 and out[1]["loss_chars"] == 0 and out[2]["n_turns"] == 2 and out[2]["loss_chars"] == 8 and out[None]["n_turns"] == 1
     assert chat_format.render(chat_format.fold(chat_format.events_of(spark.createDataFrame([], schema)))).count() == 0
+
+
+def test_null_turns_come_last(spark):
+    rows = [(1, None, "assistant", "last"), (1, 3, "user", "first"), (1, None, None, None)]
+    out = chat_format.render(chat_format.fold(chat_format.events_of(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")))).collect()
+    assert chat_format.parse(out[0]["formatted"]) == [("user", "first"), ("", ""), ("assistant", "last")]
+    events = [(1, 1, "m", "message", "user", "a"), (1, None, "m", "delta", None, "z"), (1, 2, "m", "delta", None, "b")]
+    out = chat_format.render(chat_format.fold(spark.createDataFrame(events, "conv_id bigint, seq bigint, message_id string, event string, role string, text string"))).collect()
+    assert chat_format.parse(out[0]["formatted"]) == [("user", "abz")]
+
+
+def test_numbers_are_no_letters():
+    assert not any(map(language_id.has_letter, ["½ ² 5", "", None, "_ .", "Ⅷ"])) and all(map(language_id.has_letter, ["½ a", "漢", "é"]))
+
+
+def test_search_edges(spark):
+    blank = "0" * 32
+    prints = [(50, blank), (51, blank), (None, blank), (100, None), (101, "f" * 32)]
+    df = spark.createDataFrame(prints, "doc_id bigint, fingerprint string")
+    assert [(r["fingerprint"], r["n_near"]) for r in fingerprints.neighbour_counts(df).collect()] == [(blank, 3)]
+    assert fingerprints.within_radius(df.limit(0), df).count() == 0 and fingerprints.within_radius(df, df.limit(0)).count() == 0
+
+
+def test_edited_pairs_of_edges(spark):
+    import hashlib
+
+    rows = [(1, None), (2, ""), (2, "ab"), (3, "wxyz"), (None, "end")]
+    got = sorted(fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["n_chars"]))
+    order = [t or "" for _, t in rows]
+    if got[1]["edited_sha256"] != hashlib.sha256(b"").hexdigest():
+        raise AssertionError("an empty text stays empty")
+    # Ties of id are ordered by a hash of the text, so both orders of 2 are allowed.
+    for mine in (order, [order[0], order[2], order[1], *order[3:]]):
+        want = [hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in zip(mine, mine[1:] + mine[:1])]
+        if sorted(want) == sorted(r["edited_sha256"] for r in got):
+            break
+    else:
+        raise AssertionError("edited texts differ")
+    assert [r["n_chars"] for r in got] == [0, 0, 2, 4, 3]
