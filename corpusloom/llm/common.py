@@ -275,11 +275,16 @@ def numbered(df: DataFrame, order: Sequence[str], out: str, name: str, weight: C
 HOT_SHARE = 1 / 256
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, columns: Sequence[str]) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, columns: Sequence[str], look: bool = False) -> DataFrame:
     """Inner join of ``rows`` with a table that has each key once and its number of rows. The few hot keys are broadcast, so
-    their rows are never shuffled; the rest is joined by a shuffle. Adds ``columns`` of the table."""
+    their rows are never shuffled; the rest is joined by a shuffle. Adds ``columns`` of the table.
+
+    ``look``: the table is a stored one, so it is cheap to see first whether there are hot keys; without them the plan is a
+    plain join, which keeps the driver's plans small."""
     bound = max(1, int(total * HOT_SHARE))
     slim = table.select(key, count, *columns)
     hot, cold = slim.where(F.col(count) > bound).drop(count), slim.where(F.col(count) <= bound).drop(count)
+    if look and not hot.limit(1).count():
+        return rows.join(slim.drop(count), key)
     flags = F.broadcast(hot.select(key))
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(flags, key, "left_anti").join(cold, key))

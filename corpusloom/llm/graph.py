@@ -24,9 +24,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = hot_join(both.where("v > u"), low, "u", "n", 2 * mark[0], ["m"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        joined = hot_join(large, low2, "u", "n", 2 * mark[0], ["m"])
+        large = hot_join(both.where("v > u"), stored(low, "low"), "u", "n", 2 * mark[0], ["m"], look=True).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "large")
+        low2 = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        joined = hot_join(large, low2, "u", "n", 2 * mark[0], ["m"], look=True)
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
         e = stored(small, "edges")
         new = _mark(e)

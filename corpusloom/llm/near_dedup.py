@@ -118,8 +118,8 @@ class Sketcher:
 
 def _verified(docs: DataFrame, edges: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar enough. Hot ends are split over tasks, with a copy of their text."""
-    hot = edges.groupBy("b").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("_chunks"), F.count("*").alias("_n"))
-    member = hot_join(edges, hot, "b", "_n", edges.count(), ["_chunks"]).select(F.col("a").alias("_doc"), "b", F.pmod(F.xxhash64("a"), F.col("_chunks")).cast("int").alias("_chunk"), F.lit(1).alias("_role"))
+    hot = stored(edges.groupBy("b").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("_chunks"), F.count("*").alias("_n")), "chunks")
+    member = hot_join(edges, hot, "b", "_n", edges.count(), ["_chunks"], look=True).select(F.col("a").alias("_doc"), "b", F.pmod(F.xxhash64("a"), F.col("_chunks")).cast("int").alias("_chunk"), F.lit(1).alias("_role"))
     pivot = hot.select(F.col("b").alias("_doc"), "b", F.explode(F.expr("sequence(0, _chunks - 1)")).alias("_chunk"), F.lit(0).alias("_role"))
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     # Shuffled at every size: the pairs grow with the corpus.
@@ -233,15 +233,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     chosen = stored(chosen.select(F.col("_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands"), "classes")
     banded = chosen.select(F.explode("bands").alias("key"), "id")
     pivots = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last"), F.count("*").alias("_n")).where("pivot <> _last")
-    members = stored(hot_join(banded, pivots, "key", "_n", chosen.count() * BANDS, ["pivot"]), "buckets")
+    members = stored(hot_join(banded, stored(pivots, "pivots"), "key", "_n", chosen.count() * BANDS, ["pivot"], look=True), "buckets")
     card = chosen.select("id", "n", "sig")
     # Texts that can be in a pair at all cross the network once; both verifications start from these.
     docs = stored(docs.join(members.select(F.col("id").alias("_id")).distinct().hint("merge"), "_id", "left_semi"), "candidates")
 
-    pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = stored(members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     pivot_cards = pairs.groupBy("b").agg(F.count("*").alias("_n")).join(card.select(F.col("id").alias("b"), F.struct("n", "sig").alias("y")), "b")
     pairs = pairs.join(card.select(F.col("id").alias("a"), F.struct("n", "sig").alias("x")), "a")
-    pairs = hot_join(pairs, pivot_cards, "b", "_n", members.count(), ["y"])
+    pairs = hot_join(pairs, stored(pivot_cards, "cards"), "b", "_n", members.count(), ["y"], look=True)
     tested = stored(pairs.where(_alike("x", "y", percent)).select("a", "b"), "pairs")
     links = stored(_verified(docs, tested, "_id", "_body", percent), "links")
     comp = components(links)
@@ -249,7 +249,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     # What one bucket holds of several components: compare those as well.
     own = members.select("key", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     tables = stored(_tables(own), "open")
-    open_ = stored(hot_join(own, tables, "key", "size", members.count(), ["tests"]).join(card, "id"), "open")
+    open_ = stored(hot_join(own, tables, "key", "size", members.count(), ["tests"], look=True).join(card, "id"), "open")
     more = _cross(open_.where(F.col("tests") <= MOST_TESTS).drop("tests"), tables, percent)
     heavy = open_.where(F.col("tests") > MOST_TESTS).select("id", "component", "n", "sig").dropDuplicates(["id"])
     if tables.where(F.col("tests") > MOST_TESTS).limit(1).count():
@@ -263,7 +263,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     named = classes.join(comp, classes.cls == comp.id, "left").select("digest", "_n", F.coalesce("component", "cls").alias("component_id"))
     grouped = F.col("digest").isNotNull() & F.col("_id").isNotNull()
     slim = sketches.select("_id", "_key", "digest", "n_shingles")
-    out = hot_join(slim.where(grouped), named, "digest", "_n", sketches.count(), ["component_id"])
+    out = hot_join(slim.where(grouped), stored(named, "named"), "digest", "_n", sketches.count(), ["component_id"], look=True)
     out = out.unionByName(slim.where(~grouped).withColumn("component_id", F.col("_id")))
     out = out.select(F.col("_id").alias(id_col), "_key", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
