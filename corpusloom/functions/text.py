@@ -6,6 +6,7 @@ any script, ``[A-Za-z0-9_]`` where a rule is meant to see ASCII alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -44,41 +45,44 @@ FILE_EXTENSIONS = tuple(
 )
 
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def any_of(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+#: What the regular expressions' \\s is.
+SPACE = " \t\n\x0b\f\r"
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words of any script."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACE))
 
 
-def ascii_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SPACE))
 
 
-def _windows(tokens: Column, n: int, of) -> Column:
-    """``of`` each run of n tokens. The tokens are bound to a lambda's variable, so they are computed once for a row and not
-    once for each run."""
+def one_of(words: Sequence[str]) -> str:
+    """A pattern for any of some words that branches letter by letter, so that most places fail at the first."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    body = "|".join(re.escape(a) + one_of(rest) for a, rest in tails.items())
+    return f"(?:{body}){'?' if '' in words else ''}" if body else ""
 
-    def runs(w):
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: of(F.slice(w, i, F.lit(n))))
 
-    return F.element_at(F.transform(F.array(tokens), runs), 1)
+def any_of(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n words, joined by spaces."""
-    return _windows(tokens, n, lambda w: F.array_join(w, " "))
+def words(text: Column) -> Column:
+    """Lower-cased words of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def ngram_hashes(tokens: Column, n: int) -> Column:
-    return _windows(tokens, n, F.xxhash64)
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+")).cast("bigint")
 
 
 def slug(c: Column, fallback: str = "page", drop_extension: bool = True) -> Column:
@@ -141,9 +145,14 @@ def preserved_removed(c: Column) -> Column:
     return c
 
 
+_SIX_WORDS = r"(?:[a-z]+[^a-z]+){5}[a-z]"
+_STOPWORD = f"(?<![a-z]){one_of(STOPWORDS)}(?![a-z])"
+
+
 def _wordy(c: Column) -> Column:
-    w = ascii_words(c)
-    return (F.size(w) >= 6) & F.arrays_overlap(w, any_of(STOPWORDS))
+    """Six words of a to z, one of them a stopword; both searches end where they are sure."""
+    low = F.lower(c)
+    return low.rlike(_SIX_WORDS) & low.rlike(_STOPWORD)
 
 
 def is_prose(line: Column) -> Column:
@@ -164,19 +173,22 @@ def is_prose_cell(cell: Column) -> Column:
 
 
 def is_chrome(line: Column) -> Column:
-    return line.rlike(SECTION_TITLED) | line.rlike(CHROME)
+    return (F.contains(line, F.lit("Section titled")) & line.rlike(SECTION_TITLED)) | line.rlike(CHROME)
 
 
 def has_residue(line: Column) -> Column:
     """Chrome, icon glyphs or an empty figure."""
-    return is_chrome(line) | line.rlike(GLYPHS) | line.rlike(EMPTY_FIGURE)
+    return is_chrome(line) | line.rlike(GLYPHS) | (F.contains(line, F.lit("(Figure:")) & line.rlike(EMPTY_FIGURE))
+
+
+_CRUFT_MARK = r"[\u00A0\u2002\u2003\u2007-\u200A\u202F\uFEFF\x{E000}-\x{F8FF}\u00A7\u00B7]|\(Figure:|\[(?:Source|Read more)\]"
 
 
 def cruft_removed(line: Column) -> Column:
-    line = F.regexp_replace(line, r"[\u00A0\u2002\u2003\u2007-\u200A\u202F\uFEFF]", " ")
+    out = F.regexp_replace(line, r"[\u00A0\u2002\u2003\u2007-\u200A\u202F\uFEFF]", " ")
     for pattern in (GLYPHS, EMPTY_FIGURE, r"\[(Source|Read more)\]\([^)]*\)", r"\s*§", r"\s+·(?=\s)"):
-        line = F.regexp_replace(line, pattern, "")
-    return line
+        out = F.regexp_replace(out, pattern, "")
+    return F.when(line.rlike(_CRUFT_MARK), out).otherwise(line)
 
 
 def _identifier_like(w: Column) -> Column:
@@ -238,6 +250,22 @@ def all_replaced(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), pairs, c)
 
 
+def marker_line(title: Column) -> Column:
+    return F.concat(F.lit("> "), title, F.lit(" reference. Original prose; identifiers preserved verbatim."))
+
+
+def package_title(slug_: Column) -> Column:
+    """Words for hyphens, each with a capital."""
+    return F.initcap(F.replace(slug_, F.lit("-"), F.lit(" ")))
+
+
+def package_inner(path: Column) -> Column:
+    """The folders between a package and its ``references`` folder; empty where there is none."""
+    parts = F.split(path, "/")
+    at = F.array_position(parts, "references")
+    return F.when(at > 1, F.array_join(F.slice(parts, 2, F.greatest(at - 2, F.lit(0)).cast("int")), "/")).otherwise("")
+
+
 def filled(template: str, values: dict[str, Column]) -> Column:
     """``{{name}}`` places of a template, filled with columns."""
     out = F.lit(template)
@@ -247,4 +275,4 @@ def filled(template: str, values: dict[str, Column]) -> Column:
 
 
 def one_newline(c: Column) -> Column:
-    return F.concat(F.regexp_replace(c, r"\s+$", ""), F.lit("\n"))
+    return F.concat(rstrip(c), F.lit("\n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,6 +97,56 @@ def package_errors(packages: DataFrame) -> DataFrame:
     return packages.select("package", F.explode(said).alias("message"))
 
 
+def package_classes(packages: DataFrame, files: DataFrame, broad: Sequence[str] = ()) -> DataFrame:
+    """(package, layout, side_effects, recommended, confidence) of (package, parent) and (package, file): a package with child
+    packages is a router of so many, one with a scripts folder has side effects, and a broad one stays on."""
+    children = packages.where("parent is not null").groupBy(F.col("parent").alias("package")).agg(F.count("*").alias("_n"))
+    scripts = files.groupBy("package").agg(F.bool_or(F.col("file").startswith("scripts/")).alias("_scripts"))
+    wide = F.col("package").isin(*broad)
+    got = packages.select("package").distinct().join(children, "package", "left").join(scripts, "package", "left")
+    return got.select(
+        "package", F.when(F.col("_n") > 0, F.format_string("router(%d)", "_n")).otherwise("flat").alias("layout"), F.coalesce("_scripts", F.lit(False)).alias("side_effects"),
+        F.when(wide, "on").otherwise("user-invocable-only").alias("recommended"), F.when(wide, "high").otherwise("medium").alias("confidence"),
+    )
+
+
+def inventory(roots: Sequence[DataFrame]) -> DataFrame:
+    """(scope, name, chars, root, applicable): packages found under several roots, each (scope, name, chars) once, by the first
+    root that has it. Such packages are reported and never changed."""
+    ranked = [r.select("scope", "name", "chars", F.lit(i).alias("root")) for i, r in enumerate(roots)]
+    both = ranked[0]
+    for r in ranked[1:]:
+        both = both.unionByName(r)
+    first = both.groupBy("scope", "name").agg(F.min_by(F.struct("chars", "root"), F.struct("root", "chars")).alias("_f"))
+    return first.select("scope", "name", "_f.chars", "_f.root", F.lit(False).alias("applicable"))
+
+
+def audit_report(found: DataFrame) -> DataFrame:
+    """(scope, n, chars, tokens, listing): totals of an inventory by scope, and its names in order as a Markdown table."""
+    row = F.concat(F.lit("| "), F.col("name"), F.lit(" | "), F.col("chars").cast("string"), F.lit(" | "), T.token_estimate(F.col("chars")).cast("string"), F.lit(" |"))
+    got = found.groupBy("scope").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("name", row.alias("row")))).alias("_r"))
+    body = F.array_join(F.transform("_r", lambda r: r["row"]), "\n")
+    return got.select("scope", "n", "chars", T.token_estimate(F.col("chars")).alias("tokens"), F.concat(F.lit("| Name | Chars | Tokens |\n| --- | --- | --- |\n"), body).alias("listing"))
+
+
+def largest(files: DataFrame, size: str, limit: float, name: str = "file") -> DataFrame:
+    """The files over a size, the largest first, ties by name."""
+    return files.where(F.col(size) > limit).orderBy(F.desc(size), name)
+
+
+def collisions(plans: DataFrame, by: Sequence[str], title: str) -> DataFrame:
+    """Add ``same``: how many rows of the group have this row's title."""
+    n = plans.groupBy(*by, title).agg(F.count("*").alias("same"))
+    return plans.join(n, [*by, title])
+
+
+def covers(rows: DataFrame, by: Sequence[str], order: str, title: str, shown: int = 18) -> DataFrame:
+    """(by, covers): the first distinct titles of each group, in order of first appearance."""
+    once = rows.where(F.coalesce(title, F.lit("")) != "").groupBy(*by, title).agg(F.min(order).alias("_o"))
+    got = once.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_o", F.col(title).alias("t")))).alias("_t"))
+    return got.select(*by, F.array_join(F.transform(F.slice("_t", 1, shown), lambda x: x["t"]), "; ").alias("covers"))
+
+
 def boilerplate(pages: DataFrame, book: str, page: str, text_col: str = "text") -> DataFrame:
     """(book, kind, line, n): running headers (capitals at a page's edge, three times or more) and footers (the first four
     words of a page's last line that is no number, on a fifth of the pages and at least three)."""
@@ -133,6 +186,8 @@ def first_divergence(left: DataFrame, right: DataFrame, key: str, column: str) -
     """(key, offset): where two texts of a key first differ, null where they are equal."""
     a, b = left.select(key, F.col(column).alias("_a")), right.select(key, F.col(column).alias("_b"))
     both = a.join(b, key, "full_outer")
-    x, y = F.split(F.coalesce("_a", F.lit("")), ""), F.split(F.coalesce("_b", F.lit("")), "")
-    places = F.filter(F.transform(F.arrays_zip(x.alias("a"), y.alias("b")), lambda z, i: F.when(~z["a"].eqNullSafe(z["b"]), i)), lambda i: i.isNotNull())
-    return both.select(key, F.when(~F.col("_a").eqNullSafe(F.col("_b")), F.coalesce(F.try_element_at(places, F.lit(1)), F.lit(0))).alias("offset"))
+    shared = F.pandas_udf(lambda p, q: p.combine(q, lambda s, t: len(os.path.commonprefix([s, t]))), "int")
+    place = shared(F.coalesce("_a", F.lit("")), F.coalesce("_b", F.lit("")))
+    # Equal texts, which are most, don't cross to Python.
+    differ = both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key, place.alias("offset"))
+    return differ.unionByName(both.where(F.col("_a").eqNullSafe(F.col("_b"))).select(key, F.lit(None).cast("int").alias("offset")))

@@ -79,14 +79,28 @@ def outline_entries(books: DataFrame, column: str = "outline", id_col: str = "bo
     return books.select(id_col, F.posexplode(flat(F.col(column))).alias("n", "e")).select(id_col, "n", "e.title", "e.page", "e.depth")
 
 
-def crumbs(entries: DataFrame, id_col: str = "book_id", deepest: int = 8) -> DataFrame:
-    """Add ``path``: the slugs of an entry's ancestors and its own; the top level is numbered."""
+def crumbs(entries: DataFrame, id_col: str = "book_id") -> DataFrame:
+    """Add ``path``: the slugs of an entry's ancestors and its own, of any depth; the top level is numbered. An outline, a
+    table of contents, is walked as one list."""
     w = W.partitionBy(id_col).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     top = F.count_if(F.col("depth") == 0).over(w)
     own = F.when(F.col("depth") == 0, F.format_string("%02d-%s", top, X.slug(F.col("title"), "section"))).otherwise(X.slug(F.col("title"), "section"))
-    got = entries.withColumn("_own", own)
-    levels = [F.when(F.col("depth") >= d, F.last(F.when(F.col("depth") == d, F.col("_own")), ignorenulls=True).over(w)) for d in range(deepest)]
-    return got.withColumn("path", F.array_compact(F.array(*levels))).drop("_own")
+    slim = entries.select(id_col, "n", F.struct("n", "depth", own.alias("own")).alias("e"))
+    lists = slim.groupBy(id_col).agg(F.array_sort(F.collect_list("e")).alias("e"))
+
+    def walk(entries_: Sequence[dict]) -> list[list[str]]:
+        stack: list[tuple[int, str]] = []
+        out = []
+        for e in entries_:
+            while stack and stack[-1][0] >= e["depth"]:
+                stack.pop()
+            stack.append((e["depth"], e["own"]))
+            out.append([x for _, x in stack])
+        return out
+
+    path = F.pandas_udf(lambda s: s.map(walk), T.ArrayType(T.ArrayType(T.StringType())))
+    paths = lists.select(id_col, F.inline(F.arrays_zip(F.col("e.n").alias("n"), path(F.col("e")).alias("path"))))
+    return entries.join(paths, [id_col, "n"])
 
 
 def chapter(text: str | None, headings: Sequence[str] = ()) -> str:

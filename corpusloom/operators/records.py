@@ -95,6 +95,13 @@ def reconcile(source: DataFrame, queued: DataFrame, done: DataFrame, key: str) -
     return missing.unionByName(queued.select(key).distinct().join(done, key, "left_anti").select(key, F.lit("pending").alias("state")))
 
 
+def lifecycle(source: DataFrame, queued: DataFrame, done: DataFrame, key: str, by: str) -> DataFrame:
+    """(by, source, queued, done): how many of the source's keys there are, wait in the queue or have been queued, and are done."""
+    flags = [t.select(key).distinct().withColumn(n, F.lit(True)) for t, n in ((queued, "_q"), (done, "_d"))]
+    both = source.select(key, by).distinct().join(flags[0], key, "left").join(flags[1], key, "left")
+    return both.groupBy(by).agg(F.count("*").alias("source"), F.count("_q").alias("queued"), F.count("_d").alias("done"))
+
+
 def only_in_either(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): keys of one table that the other lacks."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
@@ -147,12 +154,18 @@ def carried_object(rows: DataFrame, order: str, title: str, vocabulary: Sequence
     return rows.withColumn("object", F.coalesce(F.last(own, ignorenulls=True).over(w), F.lit(default)))
 
 
-def page_spans(outline: DataFrame, pages: DataFrame) -> DataFrame:
-    """(title, page, text): pages of each outline entry (title, start), up to the next strictly later start."""
-    starts = outline.select("start").distinct()
-    nxt = starts.withColumn("stop", F.lead("start").over(W.orderBy("start")))
-    spans = outline.join(F.broadcast(nxt), "start")
-    return spans.join(pages, (pages["page"] >= F.col("start")) & (F.col("stop").isNull() | (pages["page"] < F.col("stop")))).select("title", "page", "text")
+def page_spans(outline: DataFrame, pages: DataFrame, book: Sequence[str] = ()) -> DataFrame:
+    """([book], title, page, text): pages of each outline entry (title, start), up to the next strictly later start.
+
+    A page belongs to the last start at or before it: starts and pages are put in one order for each book, without texts, and
+    the start is carried forward; entries and texts then join by equal keys. Books are columns of both tables; a whole outline
+    without any is one book, whose page numbers pass through one task."""
+    keys = list(book)
+    marks = outline.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_page")).distinct().unionByName(pages.select(*keys, F.col("page").alias("_at"), F.lit(1).alias("_page")).distinct())
+    w = W.partitionBy(*keys).orderBy("_at", "_page").rowsBetween(W.unboundedPreceding, 0)
+    owner = F.last(F.when(F.col("_page") == 0, F.col("_at")), ignorenulls=True).over(w)
+    spans = marks.withColumn("start", owner).where("_page = 1 and start is not null").select(*keys, "start", F.col("_at").alias("page"))
+    return spans.join(outline.where("start is not null"), [*keys, "start"]).join(pages, [*keys, "page"]).select(*keys, "title", "page", "text")
 
 
 def inherited(rows: DataFrame, known: DataFrame, key: str, column: str) -> DataFrame:

@@ -17,6 +17,61 @@ LINES_SQL = "select doc_id, unnest(string_split(text, chr(10))) as line, generat
 PROSE_SQL = rf"""(s <> '' and not regexp_matches(s, '^(#|>|\||[-:]+\s*\|)') and not regexp_matches(s, '^\|?\s*[:-]+\s*[|]') and not regexp_matches(s, '^[*+-]\s+`?\[?[-:/.\w]+`?\]?\s*$')
  and len(regexp_extract_all(lower(s), '[a-z]+')) >= 6 and list_has_any(regexp_extract_all(lower(s), '[a-z]+'), {STOP}))"""
 UNITS_SQL = rf"select doc_id, i, s as text from (select *, regexp_replace(line, '^\s+|\s+$', '', 'g') as s from ({LINES_SQL})) where {PROSE_SQL}"
+EXEMPT_SQL = r"""(select case when n = 0 then 'EMPTY' when share >= 0.5 then 'IDENT_DOMINATED' when n <= 14 and share > 0 and len(list_filter(w, lambda x: x in ('http','https','www') or contains(x, '_'))) > 0 then 'SHORT_IDENT' when len(regexp_extract_all(run, '\d')) >= 8 and share >= 0.3 then 'ENUM/NUM' end
+ from (select w, len(w) as n, len(list_filter(w, lambda x: regexp_matches(x, '_|\d') or x in ('http','https','www',EXTENSIONS))) / len(w) as share from (select list_filter(regexp_split_to_array(run, '\s+'), lambda x: x <> '') as w)))""".replace("EXTENSIONS", ",".join(f"'{x}'" for x in T.FILE_EXTENSIONS))
+
+
+def kept_sql(c: str) -> str:
+    """A text without what a rewrite has to keep: inline code, links, addresses, figures."""
+    for pattern, by in (("`[^`]*`", " "), (r"\[[^\]]*[\]][(][^)]*[)]", " "), (r"[\]][(]\s*[^)]*[)]", "] "), (r"https?://\S+", " "), (r"\(Figure:[^)]*\)", " ")):
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+    return c
+
+
+def fenced_sql(source: str) -> str:
+    """(doc_id, line, i, s, fence, inside) of the lines of a query with doc_id and text."""
+    return rf"""select *, fence or count(*) filter (fence) over (partition by doc_id order by i) % 2 = 1 as inside from (select *, regexp_matches(s, '^(~{{3,}}|`{{3,}})[-.+\w]*$') as fence
+ from (select *, regexp_replace(line, '^\s+|\s+$', '', 'g') as s from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from ({source}))))"""
+
+
+def units_sql(source: str) -> str:
+    """(doc_id, i, cell, indent, text): prose lines and prose cells outside code."""
+    wordy = f"len(regexp_extract_all(lower({kept_sql('c')}), '[a-z]+')) >= 6 and list_has_any(regexp_extract_all(lower({kept_sql('c')}), '[a-z]+'), {STOP})"
+    signature = r"(regexp_matches(c, '\boperator\b') or regexp_matches(c, '\)\s*const\b') or (contains(c, '(') and contains(c, ')') and regexp_matches(c, '[A-Z]\w*\s*[*&]\s*\w')))"
+    usable = rf"select *, starts_with(s, '|') and not regexp_matches(s, '^\|?\s*[:-]+\s*[|]') as tabled from ({fenced_sql(source)}) where not inside and s <> '' and not starts_with(s, '#') and not regexp_matches(s, '^> .+ reference\. (Verbatim docs|Original prose); identifiers preserved verbatim\.\s*$')"
+    return rf"""select doc_id, i, null::int as cell, regexp_extract(line, '^\s*') as indent, s as text from ({usable}) where not tabled and {PROSE_SQL}
+ union all select doc_id, i, k, '', c from (select doc_id, i, regexp_replace(unnest(string_split(line, '|')), '^\s+|\s+$', '', 'g') as c, (generate_subscripts(string_split(line, '|'), 1) - 1)::int as k from ({usable}) where tabled) where c <> '' and not {signature} and {wordy}"""
+
+
+def tokens_sql(source: str) -> str:
+    """(doc_id, category, token), with repeats. A number's look-behind is the character before it, which is no part of it."""
+    found = [("inline", "`([^`\n]+)`", 1), ("url", r"""https?:/{2}[^)>}\]"''\s]+""", 0), ("url", r"\]\(\s*([^\s)]+)", 1)]
+    found += [("ident", r"\b[a-zA-Z][0-9a-z]+(?:[A-Z][0-9a-z]+)+[0-9A-Za-z]*\b", 0), ("ident", r"\b[A-Z][0-9A-Z]*(?:_[0-9A-Z]+)+\b", 0), ("ident", r"\b[_A-Za-z]\w*(?:::\w+)+\b", 0)]
+    found += [("num", rf"(?:^|[^.\w])([0-9][0-9,]*(?:[.][0-9]+)?(?:[\s]?(?:{protected.UNITS})\b)?)", 1)]
+    each = " union all ".join(f"select doc_id, '{c}' as category, unnest(regexp_extract_all(p, '{x}', {g})) as token from p" for c, x, g in found)
+    return rf"""with f as materialized ({fenced_sql(source)}), p as (select doc_id, regexp_replace(coalesce(string_agg(line, chr(10) order by i) filter (not inside), ''), '[\\]([`.#~*\[\]()_])', '\1', 'g') as p from f group by 1),
+ b as (select doc_id, (count(*) filter (fence) over (partition by doc_id order by i) - 1) // 2 as block, line, i, fence from f where inside)
+ select doc_id, category, token from (select doc_id, category, case category when 'url' then trim(token, '<>') when 'ident' then token else regexp_replace(token, '^\s+|\s+$', '', 'g') end as token from ({each})) where category <> 'url' or not starts_with(token, '#')
+ union all select * from (select doc_id, 'code', regexp_replace(string_agg(line, chr(10) order by i) filter (not fence), '^\s+|\s+$', '', 'g') as token from b group by doc_id, block) where token <> ''"""
+
+
+def changes_sql(before: str, after: str) -> str:
+    """(path, category, token, lost, added) of two queries with doc_id and text."""
+    return f"""with s as materialized ({tokens_sql(before)}), w as materialized ({tokens_sql(after)}), wrapped as (select doc_id, string_agg(token, ' ') as x from w where category in ('inline', 'code') group by 1),
+ d as (select doc_id, category, token, coalesce(b.n, 0) as b, coalesce(a.n, 0) as a from (select doc_id, category, token, count(*) as n from s group by all) b full join (select doc_id, category, token, count(*) as n from w group by all) a using (doc_id, category, token))
+ select * from (select d.doc_id as path, category, token, case when category in ('ident', 'num') and contains(coalesce(x, ''), token) then 0 else greatest(b - a, 0) end as lost, greatest(a - b, 0) as added from d left join wrapped using (doc_id)) where lost > 0 or added > 0"""
+
+
+def runs_sql(hits: str, n: int = 13) -> str:
+    """Recursive SQL tables: hits (u, pos) to runs (u, at_, end_); each run starts behind the one before."""
+    return f"""isl as (select u, min(pos) as lo, max(pos) as hi, row_number() over (partition by u order by min(pos)) as k from (select u, pos, pos - row_number() over (partition by u order by pos) as g from ({hits})) group by u, g),
+ fold as (select u, k, lo as at_, hi + {n} as end_, hi + {n} as free from isl where k = 1
+ union all select isl.u, isl.k, case when greatest(lo, free) <= hi then greatest(lo, free) end, hi + {n}, case when greatest(lo, free) <= hi then hi + {n} else free end from fold join isl on isl.u = fold.u and isl.k = fold.k + 1),
+ runs as (select u, at_, end_ from fold where at_ is not null)"""
+
+
+WORDS_SQL = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}_]+')"
+GRAM_SQL = "array_to_string(list_slice(w, pos + 1, pos + 13), ' ')"
 SCORES_SQL = rf"""select d.doc_id, round_even(case when total = 0 then 0 else coalesce(pw, 0) / total end, 3) as prose_ratio, coalesce(pw, 0)::bigint as prose_words, total as total_words, coalesce(pu, 0) as prose_units, coalesce(chrome, 0) as chrome, false as marker_ok
  from (select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+'))::bigint as total from documents) d
  left join (select doc_id, sum(len(regexp_extract_all(text, '\S+'))) as pw, count(*) as pu from ({UNITS_SQL}) group by 1) p using (doc_id)
@@ -48,12 +103,18 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(path, source, working): markdown, and the same with one edit by the document's id."""
-    k, t = F.col("doc_id") % 4, F.col("text")
-    edit = F.when(k == 0, F.replace(t, F.lit("12 ms"), F.lit("15 ms"))).when(k == 1, F.regexp_replace(t, "`item_[0-9]+`", "an item")).when(k == 2, F.concat(t, F.lit("\nAll rights reserved."))).otherwise(t)
+    """(path, source, working): markdown, and the same with one edit by the document's id, or its words in another order."""
+    k, t = F.col("doc_id") % 5, F.col("text")
+    edit = F.when(k == 0, F.replace(t, F.lit("12 ms"), F.lit("15 ms"))).when(k == 1, F.regexp_replace(t, "`item_[0-9]+`", "an item")).when(k == 2, F.concat(t, F.lit("\nAll rights reserved.")))
+    edit = edit.when(k == 4, F.regexp_replace(t, r"(\w+) (\w+) (\w+) (\w+)", "$4 $2 $1 $3")).otherwise(t)
     return markdown(spark, sf).select(F.col("doc_id").alias("path"), t.alias("source"), edit.alias("working"))
 
 
+WORKING_SQL = rf"""select doc_id, case doc_id % 5 when 0 then replace(text, '12 ms', '15 ms') when 1 then regexp_replace(text, '`item_[0-9]+`', 'an item', 'g') when 2 then concat(text, chr(10), 'All rights reserved.')
+ when 4 then regexp_replace(text, '(\w+) (\w+) (\w+) (\w+)', '\4 \2 \1 \3', 'g') else text end as text from ({MARKDOWN_SQL})"""
+TABLE_SQL = f"""select doc_id, concat(text, chr(10), '| name | what it is |', chr(10), '| --- | --- |', chr(10), '| item_', doc_id, ' | This is the cell of a table in document ', doc_id, ' |') as text from ({MARKDOWN_SQL})"""
+
+
 def with_table(spark: SparkSession, sf: str) -> DataFrame:
     """Markdown with a table after it, of which one cell is prose."""
     i = F.col("doc_id").cast("string")
@@ -72,20 +133,26 @@ def residue_docs(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.residue_hits(documents(spark, sf), benchmark(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
-@query()
+@query(
+    rf"""with recursive d as (select doc_id as u, {WORDS_SQL % "text"} as w from documents), b as (select {WORDS_SQL % "text"} as w from benchmark),
+ bg as (select distinct {GRAM_SQL} as g from (select w, unnest(range(0, len(w) - 12)) as pos from b)), h as (select u, pos from (select u, w, unnest(range(0, len(w) - 12)) as pos from d) where {GRAM_SQL} in (select g from bg)),
+ {runs_sql("select * from h")}
+ select doc_id, start, "end", run, {EXEMPT_SQL} as exemption from (select runs.u as doc_id, at_::int as start, end_::int as "end", array_to_string(list_slice(w, at_ + 1, end_), ' ') as run from runs join d using (u))"""
+)
 def residue_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal shared runs with their exemption."""
     return overlap.residue_runs(documents(spark, sf), benchmark(spark, sf))
 
 
-@query(UNITS_SQL)
+@query(units_sql("select doc_id, text from documents"))
 def prose_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.prose_units(documents(spark, sf)).where("cell is null").select("doc_id", "i", "text")
+    return lines.prose_units(documents(spark, sf))
 
 
-@query()
+@query(units_sql(TABLE_SQL))
 def prose_units_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.prose_units(markdown(spark, sf))
+    """Lines and table cells, on markdown with a table."""
+    return lines.prose_units(with_table(spark, sf))
 
 
 @query(SCORES_SQL)
@@ -124,47 +191,66 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return lines.clean_text(documents(spark, sf))
 
 
-@query(
-    rf"""with p as (select doc_id, regexp_replace(text, '```py\n[^`]*```\n', '') as p from ({MARKDOWN_SQL})),
- t as (select doc_id, 'inline' as category, unnest(regexp_extract_all(p, '`([^`\n]+)`', 1)) as token from p
- union all select doc_id, 'url', unnest(regexp_extract_all(p, 'https?:/{{2}}[^)>}}\]"''\s]+')) from p union all select doc_id, 'url', unnest(regexp_extract_all(p, '\]\(\s*([^\s)]+)', 1)) from p
- union all select doc_id, 'ident', unnest(regexp_extract_all(p, '\b[a-zA-Z][0-9a-z]+(?:[A-Z][0-9a-z]+)+[0-9A-Za-z]*\b')) from p
- union all select doc_id, 'ident', unnest(regexp_extract_all(p, '\b[A-Z][0-9A-Z]*(?:_[0-9A-Z]+)+\b')) from p
- union all select doc_id, 'ident', unnest(regexp_extract_all(p, '\b[_A-Za-z]\w*(?:::\w+)+\b')) from p
- union all select doc_id, 'code', concat('x = ', doc_id, chr(10), 'TODO inside') from p)
- select doc_id, category, token, count(*) as n from t group by all"""
-)
+@query(f"select doc_id, category, token, count(*) as n from ({tokens_sql(MARKDOWN_SQL)}) group by all")
 def token_multiset(spark: SparkSession, sf: str) -> DataFrame:
-    """A1 on the markdown of every document, without numbers: they need a look-behind that the other dialect lacks.
-    ``protected_tokens`` has all categories."""
-    return protected.tokens(markdown(spark, sf)).where("category <> 'num'")
-
-
-@query()
-def protected_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """A1 on the markdown of every document, all categories."""
     return protected.tokens(markdown(spark, sf))
 
 
-@query(
-    f"""select doc_id as path, case when doc_id % 4 = 1 then 1 else 0 end::bigint as hard_lost, doc_id % 4 <> 1 as passed from documents""",
-)
+@query(changes_sql(MARKDOWN_SQL, WORKING_SQL))
+def gate_a_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """What each rewrite loses and adds."""
+    return protected.gate_a_tokens(pairs(spark, sf))
+
+
+def gate_a_sql(changes: str) -> str:
+    return f"""select p.doc_id as path, coalesce(sum(lost), 0)::bigint as lost, coalesce(sum(added), 0)::bigint as added, coalesce(sum(lost) filter (category <> 'num'), 0)::bigint as hard_lost, coalesce(sum(lost) filter (category <> 'num'), 0) = 0 as passed
+ from documents p left join ({changes}) c on c.path = p.doc_id group by 1"""
+
+
+GATE_B_SQL = rf"""with recursive su as materialized ({units_sql(MARKDOWN_SQL)}), wu as materialized ({units_sql(WORKING_SQL)}),
+ sp as (select doc_id, {WORDS_SQL % kept_sql("string_agg(text, chr(10) order by i, cell nulls first)")} as w from su group by 1), sg as (select distinct doc_id, {GRAM_SQL} as g from (select doc_id, w, unnest(range(0, len(w) - 12)) as pos from sp)),
+ ww as materialized (select doc_id, {{'d': doc_id, 'i': i, 'c': cell}} as u, {WORDS_SQL % kept_sql("text")} as w from wu),
+ h as materialized (select u, pos from (select doc_id, u, pos, {GRAM_SQL} as g from (select doc_id, u, w, unnest(range(0, len(w) - 12)) as pos from ww)) join sg using (doc_id, g)),
+ {runs_sql("select * from h")},
+ left_ as (select u.d as doc_id, count(*) as n from (select runs.u, array_to_string(list_slice(w, at_ + 1, end_), ' ') as run from runs join ww on runs.u = ww.u) where {EXEMPT_SQL} is null group by 1)
+ select s.doc_id as path, round_even(len({WORDS_SQL % "w.text"}) / len({WORDS_SQL % "s.text"}), 3) as ratio, coalesce(n, 0) as runs_remaining, coalesce(n, 0) = 0 as passed
+ from ({MARKDOWN_SQL}) s join ({WORKING_SQL}) w on s.doc_id = w.doc_id left join left_ on left_.doc_id = s.doc_id"""
+#: Markdown without chrome lines outside code; what else cleaning does leaves the tokens as they are.
+UNCHROMED_SQL = f"select doc_id, string_agg(line, chr(10) order by i) as text from ({fenced_sql(MARKDOWN_SQL)}) where inside or not {CHROME_SQL} group by 1"
+
+
+def gates_sql(any_b: bool) -> str:
+    return f"""with a as ({gate_a_sql(changes_sql(UNCHROMED_SQL, WORKING_SQL))}), b as ({GATE_B_SQL}), c as (select doc_id as path, count(*) filter (not inside and {CHROME_SQL}) as cruft_lines from ({fenced_sql(WORKING_SQL)}) group by 1)
+ select path, a.hard_lost, b.ratio, b.runs_remaining, cruft_lines, a.passed as gate_a, b.passed as gate_b, cruft_lines = 0 as gate_c, a.passed and cruft_lines = 0 and (b.passed or {any_b}) as passed from a join b using (path) join c using (path)"""
+
+
+@query(gate_a_sql(changes_sql(MARKDOWN_SQL, WORKING_SQL)))
 def gate_a_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return protected.gate_a(pairs(spark, sf)).select("path", F.col("hard_lost").cast("bigint").alias("hard_lost"), "passed")
+    return protected.gate_a(pairs(spark, sf))
+
+
+@query(GATE_B_SQL)
+def gate_b_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Prose runs of 13 words that a rewrite still shares with its source."""
+    return overlap.gate_b(pairs(spark, sf))
+
+
+@query(gates_sql(False))
+def all_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """G4 for faction 2: all three gates decide."""
+    return protected.all_gates(pairs(spark, sf), faction=2)
 
 
-@query("select doc_id as path, doc_id % 4 <> 1 and doc_id % 4 <> 2 and not exists(select 1 from (" + LINES_SQL + ") l where l.doc_id = d.doc_id and " + CHROME_SQL + ") as passed from documents d")
+@query(gates_sql(True))
 def all_gates_extract(spark: SparkSession, sf: str) -> DataFrame:
     """G4 for faction 1, where residue is reported but doesn't count: gates A and C decide."""
-    return protected.all_gates(pairs(spark, sf), faction=1).select("path", "passed")
+    return protected.all_gates(pairs(spark, sf), faction=1)
 
 
-@query(
-    rf"""select doc_id as path, round_even(len(regexp_extract_all(lower(case doc_id % 4 when 0 then replace(text, '12 ms', '15 ms') when 1 then regexp_replace(text, '`item_[0-9]+`', 'an item', 'g') when 2 then concat(text, chr(10), 'All rights reserved.') else text end), '[\p{{L}}\p{{N}}_]+')) / len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')), 3) as ratio from ({MARKDOWN_SQL})"""
-)
+@query(rf"""select doc_id as path, round_even(len({WORDS_SQL % "w.text"}) / len({WORDS_SQL % "s.text"}), 3) as ratio from ({MARKDOWN_SQL}) s join ({WORKING_SQL}) w using (doc_id)""")
 def length_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = F.size(T.words(F.col("source"))), F.size(T.words(F.col("working")))
-    return pairs(spark, sf).select("path", F.bround(F.try_divide(b, a), 3).alias("ratio"))
+    return pairs(spark, sf).select("path", overlap.length_ratio(F.col("source"), F.col("working")).alias("ratio"))
 
 
 @query(
@@ -177,7 +263,9 @@ def heading_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return lines.heading_blocks(markdown(spark, sf))
 
 
-@query(rf"select doc_id, 0::bigint as block, concat('x = ', doc_id, chr(10), 'TODO inside') as body from documents")
+@query(
+    rf"""select doc_id, block, string_agg(line, chr(10) order by i) filter (not fence) as body from (select doc_id, line, i, fence, (count(*) filter (fence) over (partition by doc_id order by i) - 1) // 2 as block from ({fenced_sql(MARKDOWN_SQL)}) where inside) group by 1, 2 having count(*) filter (not fence) > 0"""
+)
 def code_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return lines.code_blocks(markdown(spark, sf))
 
@@ -188,17 +276,11 @@ def code_stripped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from ({MARKDOWN_SQL})),
- h as (select *, regexp_replace(line, '^\s+|\s+$', '', 'g') as s, coalesce(last_value(case when starts_with(line, '#') then line end ignore nulls) over (partition by doc_id order by i rows unbounded preceding), '') as heading, max(i) over (partition by doc_id) + 1 as total_lines from l)
- select doc_id, i, heading, s as text, total_lines from h where i not in (4, 5) and {PROSE_SQL}"""
+    rf"""with h as (select doc_id, i, coalesce(last_value(case when not inside and starts_with(s, '#') then s end ignore nulls) over (partition by doc_id order by i rows unbounded preceding), '') as heading, count(*) over (partition by doc_id) as total_lines from ({fenced_sql(TABLE_SQL)}))
+ select doc_id, i, cell, heading, text, total_lines from ({units_sql(TABLE_SQL)}) join h using (doc_id, i)"""
 )
 def extract_packets(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.extract(markdown(spark, sf)).where("cell is null").select("doc_id", "i", "heading", "text", "total_lines")
-
-
-@query()
-def extract_packets_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """G5 with the cells of table rows, on markdown with a table."""
+    """G5 on markdown with a table: lines and cells under their headings."""
     return lines.extract(with_table(spark, sf))
 
 
@@ -269,9 +351,9 @@ def split_oversize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    rf"""with w as (select source, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) as word from documents),
- n as (select source, word, count(*) as n from w where word not in (select unnest({STOP})) and length(word) between 3 and 30 and length(word) - length(replace(word, '-', '')) <= 3 and not regexp_matches(word, '^\d+$') group by 1, 2)
- select source, word, n, rank from (select *, row_number() over (partition by source order by n desc, word) as rank from n) where rank <= 12"""
+    rf"""with w as (select source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) as word, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'), 1) as kk from documents),
+ n as (select source, word, count(*) as n, min({{'d': doc_id, 'a': kk}}) as first from w where word not in (select unnest({STOP})) and length(word) between 3 and 30 and length(word) - length(replace(word, '-', '')) <= 3 and not regexp_matches(word, '^\d+$') group by 1, 2)
+ select source, word, n, rank from (select *, row_number() over (partition by source order by n desc, first) as rank from n) where rank <= 12"""
 )
 def keyword_top(spark: SparkSession, sf: str) -> DataFrame:
     return graph.keywords(documents(spark, sf), "source")
@@ -283,17 +365,17 @@ def first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """with r as (select doc_id, '' as lang, source, doc_id % 3 as ord from documents union all select doc_id, lang, 'late', 5 from documents union all select doc_id, 'xx', case when quality = 1 then 'good' else '' end, 1 from labels)
- select doc_id, arg_min(lang, ord) filter (lang <> '') as lang, min(ord) as ord from r group by 1 having arg_min(lang, ord) filter (lang <> '') is not null"""
+    """with r as (select doc_id, '' as lang, source, doc_id % 3 * 2 as ord from documents union all select doc_id, lang, 'late', 9 from documents union all select doc_id, 'xx', case when quality = 1 then 'good' else '' end, 1 from labels)
+ select doc_id, arg_min(lang, ord) filter (lang <> '') as lang, arg_min(source, ord) filter (source <> '') as source, min(ord) as ord from r group by 1 having arg_min(lang, ord) filter (lang <> '') is not null"""
 )
 def record_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of several tables merged by id, the first filled value of each field wins."""
     d = documents(spark, sf)
-    rows = d.select("doc_id", F.lit("").alias("lang"), "source", (F.col("doc_id") % 3).alias("ord"))
-    rows = rows.unionByName(d.select("doc_id", "lang", F.lit("late").alias("source"), F.lit(5).cast("bigint").alias("ord")))
+    rows = d.select("doc_id", F.lit("").alias("lang"), "source", (F.col("doc_id") % 3 * 2).alias("ord"))
+    rows = rows.unionByName(d.select("doc_id", "lang", F.lit("late").alias("source"), F.lit(9).cast("bigint").alias("ord")))
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = rows.unionByName(labels.select("doc_id", F.lit("xx").alias("lang"), F.when(F.col("quality") == 1, "good").otherwise("").alias("source"), F.lit(1).cast("bigint").alias("ord")))
-    return records.merge_records(rows, "doc_id", "ord", "lang").select("doc_id", "lang", "ord")
+    return records.merge_records(rows, "doc_id", "ord", "lang")
 
 
 @query("select doc_id, sha256(text) as sha, octet_length(encode(text)) as bytes from documents")
@@ -314,28 +396,27 @@ def line_predicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    rf"""with r as (select doc_id, case doc_id % 5 when 0 then concat('a_b c_d run ', doc_id) when 1 then 'plain words of a run that is prose' when 2 then 'go to https now please my friend' when 3 then '' else 'v1 12345 and 67890 or the 4711 things here' end as run from documents), w as (select *, list_filter(regexp_split_to_array(run, '\s+'), lambda x: x <> '') as w from r),
- f as (select *, len(w) as n, len(list_filter(w, lambda x: regexp_matches(x, '_|\d') or x in ('http','https','www'))) / len(w) as share from w)
- select doc_id, case when n = 0 then 'EMPTY' when share >= 0.5 then 'IDENT_DOMINATED' when n <= 14 and share > 0 and len(list_filter(w, lambda x: x in ('http','https','www') or contains(x, '_'))) > 0 then 'SHORT_IDENT' when len(regexp_extract_all(run, '\d')) >= 8 and share >= 0.3 then 'ENUM/NUM' end as exemption from f"""
+    rf"""select doc_id, {EXEMPT_SQL} as exemption from (select doc_id, case doc_id % 5 when 0 then concat('a_b c_d ', array_to_string(w[1:8], ' ')) when 1 then array_to_string(w[1:20], ' ') when 2 then concat('https ', array_to_string(w[1:10], ' ')) when 3 then '' else concat('v1 12345 67890 4711 ', array_to_string(w[1:9], ' ')) end as run from (select doc_id, regexp_split_to_array(text, '\s+') as w from documents))"""
 )
 def exemptions(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("doc_id") % 5
+    """P5 on the first words of every document, with identifiers, addresses and numbers in front."""
+    k, w = F.col("doc_id") % 5, F.split("text", r"\s+")
+    first = lambda n: F.array_join(F.slice(w, 1, n), " ")
     run = (
-        F.when(k == 0, F.concat(F.lit("a_b c_d run "), F.col("doc_id").cast("string"))).when(k == 1, "plain words of a run that is prose").when(k == 2, "go to https now please my friend")
-        .when(k == 3, "").otherwise("v1 12345 and 67890 or the 4711 things here")
+        F.when(k == 0, F.concat(F.lit("a_b c_d "), first(8))).when(k == 1, first(20)).when(k == 2, F.concat(F.lit("https "), first(10)))
+        .when(k == 3, "").otherwise(F.concat(F.lit("v1 12345 67890 4711 "), first(9)))
     )
     return documents(spark, sf).select("doc_id", T.exemption(run).alias("exemption"))
 
 
 @query(
-    r"""select doc_id, concat('Name ', doc_id) as title, concat('v', doc_id) as object, case when doc_id % 2 = 0 then doc_id % 11 >= 5 end as recent
- from documents"""
+    r"""select doc_id, concat(w, ' ', doc_id) as title, concat('v', w) as object, case when doc_id % 2 = 0 then doc_id % 11 >= 5 end as recent from (select doc_id, regexp_extract(text, '[\p{L}\p{N}_]+') as w from documents)"""
 )
 def title_scalars(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles, object tokens and version comparison."""
-    i = F.col("doc_id").cast("string")
-    raw = F.concat(F.lit("**Name "), i, F.lit("**<br/> (3)"))
-    obj = F.concat(F.lit("Foo - Bar – **v"), i, F.lit("** (2)"))
+    """Titles, object tokens and version comparison, with a document's first word."""
+    i, w = F.col("doc_id").cast("string"), F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0)
+    raw = F.concat(F.lit("**"), w, F.lit(" "), i, F.lit("**<br/> (3)"))
+    obj = F.concat(F.lit("Foo - Bar – **v"), w, F.lit("** (2)"))
     ver = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("tool "), (F.col("doc_id") % 11).cast("string"), F.lit(".2.1-rc"))).otherwise("none")
     least = F.struct(F.lit(5).alias("major"), F.lit(0).alias("minor"), F.lit(0).alias("patch"))
     return documents(spark, sf).select("doc_id", T.clean_title(raw).alias("title"), T.object_token(obj).alias("object"), (T.version(ver) >= least).alias("recent"))
@@ -377,16 +458,25 @@ def build_files(spark: SparkSession, sf: str) -> DataFrame:
     return building.build(d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), url.alias("source_url"), "text", F.array("lang").alias("tags"), F.lit("").alias("subskill"), F.lit("").alias("section"), F.col("doc_id").alias("ord")))
 
 
-@query("select doc_id, true as ok from documents")
+@query(
+    rf"""select doc_id, doc_id % 3 <> 0 as ok, case when doc_id % 3 = 0 then length(regexp_replace(split_part(text, '## Part', 1), '[\s#]+', '', 'g'))::int end as "offset" from ({MARKDOWN_SQL})"""
+)
 def split_verified(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's topics hold the whole document."""
+    """A document's topics hold all of it, but for every third one, whose last topic is taken away."""
     m = markdown(spark, sf)
-    return building.verify_split(m, building.split_topics(m, 2, 4096)).select("doc_id", "ok")
+    topics = building.split_topics(m, 2, 4096)
+    return building.verify_split(m, topics.where((F.col("doc_id") % 3 != 0) | (F.col("title") != "Part")))
 
 
-@query("select doc_id, true as drift from documents")
+@query(
+    rf"""select doc_id, concat(regexp_replace(text, '\s+$', ''), chr(10), chr(10), '## Use it', chr(10), chr(10), 'Ask for ', doc_id, '.', chr(10)) as text, doc_id % 2 = 1 as drift from ({MARKDOWN_SQL})"""
+)
 def managed_regions(spark: SparkSession, sf: str) -> DataFrame:
-    return building.managed_regions(markdown(spark, sf), "## Use it", "Ask for {{id}}.", {"id": F.col("doc_id")}).select("doc_id", "drift")
+    """The region is set in every document; those with even ids have it already."""
+    put = lambda d: building.managed_regions(d, "## Use it", "Ask for {{id}}.", {"id": F.col("doc_id")})
+    m = markdown(spark, sf).select("doc_id", "text")
+    even = put(m.where("doc_id % 2 = 0")).select("doc_id", "text")
+    return put(m.where("doc_id % 2 <> 0").unionByName(even))
 
 
 @query()

@@ -81,10 +81,10 @@ def reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return records.reconcile(o, o.where("o_orderkey % 4 <> 0"), o.where("o_orderkey % 3 = 0"), "o_orderkey")
 
 
-@query("select s_suppkey, 'left' as side from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49) union all select distinct l_suppkey, 'right' from lineitem where l_quantity > 49 and l_suppkey not in (select s_suppkey from supplier)")
+@query("with a as (select p_partkey as k from part where p_size > 5), b as (select distinct l_partkey as k from lineitem where l_quantity > 49 and l_discount > 0.05) select k, 'left' as side from a where k not in (select k from b) union all select k, 'right' from b where k not in (select k from a)")
 def missing_and_dangling(spark: SparkSession, sf: str) -> DataFrame:
-    used = _table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
-    return records.only_in_either(_table(spark, sf, "supplier"), used, "s_suppkey")
+    used = _table(spark, sf, "lineitem").where("l_quantity > 49 and l_discount > 0.05").select(F.col("l_partkey").alias("k"))
+    return records.only_in_either(_table(spark, sf, "part").where("p_size > 5").select(F.col("p_partkey").alias("k")), used, "k")
 
 
 @query("select conv_id, turn, role, count(*) filter (new) over (partition by conv_id order by turn rows unbounded preceding) as run from (select *, role is distinct from lag(role) over (partition by conv_id order by turn) or turn = 0 as new from conversations)")
@@ -189,4 +189,60 @@ def hints_inherited(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select o_orderstatus, count(*) as source, count(*) filter (o_orderkey % 2 = 0) as queued, count(*) filter (o_orderkey % 6 = 0) as done from orders group by 1")
 def lifecycle_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("source"), F.count_if(F.col("o_orderkey") % 2 == 0).alias("queued"), F.count_if(F.col("o_orderkey") % 6 == 0).alias("done"))
+    o = _table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return records.lifecycle(o, o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 6 = 0"), "o_orderkey", "o_orderstatus")
+
+
+@query(
+    "with p as (select p_brand as package, case when p_partkey % 3 = 0 then concat(p_brand, '-', p_size % 4) end as parent, p_partkey from part), f as (select p_brand as package, bool_or(p_size = 7) as side from part group by 1), "
+    "c as (select parent as package, count(*) as n from p where parent is not null group by 1), k as (select distinct package from p union select parent from p where parent is not null) "
+    "select package, case when n > 0 then concat('router(', n, ')') else 'flat' end as layout, coalesce(side, false) as side_effects, case when package = 'Brand#12' then 'on' else 'user-invocable-only' end as recommended, case when package = 'Brand#12' then 'high' else 'medium' end as confidence from k left join c using (package) left join f using (package)"
+)
+def package_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands as packages, with child packages and scripts by size."""
+    p = _table(spark, sf, "part")
+    parent = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("-"), (F.col("p_size") % 4).cast("string")))
+    packages = p.select(F.col("p_brand").alias("package"), parent.alias("parent"))
+    packages = packages.unionByName(packages.where("parent is not null").select(F.col("parent").alias("package"), F.lit(None).cast("string").alias("parent")))
+    files = p.select(F.col("p_brand").alias("package"), F.when(F.col("p_size") == 7, "scripts/run.sh").otherwise("a/scripts.md").alias("file"))
+    return audit.package_classes(packages, files, ["Brand#12"])
+
+
+@query(
+    "with r as (select c_mktsegment as scope, c_name as name, length(c_name)::bigint as chars, 0 as root from customer where c_custkey % 2 = 0 union all select c_mktsegment, c_name, c_custkey, 1 from customer), f as (select scope, name, arg_min(chars, root) as chars from r group by 1, 2) "
+    "select scope, count(*) as n, sum(chars)::bigint as chars, round_even(sum(chars) / 4, 0)::bigint as tokens, concat('| Name | Chars | Tokens |', chr(10), '| --- | --- | --- |', chr(10), string_agg(concat('| ', name, ' | ', chars, ' | ', round_even(chars / 4, 0)::bigint, ' |'), chr(10) order by name)) as listing from f group by 1"
+)
+def audit_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Packages under two roots, reported once each."""
+    c = _table(spark, sf, "customer").select(F.col("c_mktsegment").alias("scope"), F.col("c_name").alias("name"), F.col("c_custkey").cast("bigint").alias("chars"))
+    return audit.audit_report(audit.inventory([c.where("chars % 2 = 0").withColumn("chars", F.length("name").cast("bigint")), c]))
+
+
+@query("select p_partkey, p_brand, p_type, count(*) over (partition by p_brand, p_type) as same from part")
+def title_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """A13."""
+    return audit.collisions(_table(spark, sf, "part").select("p_partkey", "p_brand", "p_type"), ["p_brand"], "p_type")
+
+
+@query("select p_brand, array_to_string(list_slice(list(t order by o), 1, 18), '; ') as covers from (select p_brand, concat(p_type, ' ', p_size) as t, min(p_partkey) as o from part group by 1, 2) group by 1")
+def covers(spark: SparkSession, sf: str) -> DataFrame:
+    """A14."""
+    p = _table(spark, sf, "part").select("p_brand", F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("t"), "p_partkey")
+    return audit.covers(p, ["p_brand"], "p_partkey", "t")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_totalprice > 400000 order by o_totalprice desc, o_orderkey")
+def largest(spark: SparkSession, sf: str) -> DataFrame:
+    """O3: what is over a size, the largest first."""
+    return audit.largest(_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 400_000, "o_orderkey")
+
+
+@query("select conv_id, concat('> ', upper(role[1]), role[2:], ' ', conv_id, ' reference. Original prose; identifiers preserved verbatim.') as marker, case when turn % 2 = 0 then concat('t', turn, '/x') else '' end as inside from conversations where turn = 0 or turn = 1")
+def package_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles, markers and inner folders of packages, named by the first turns of conversations."""
+    from corpusloom.functions import text as T
+
+    c = _table(spark, sf, "conversations").where("turn = 0 or turn = 1")
+    i, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    slug, path = F.concat_ws("-", "role", i), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("pkg/t"), t, F.lit("/x/references/a.md"))).otherwise(F.lit("pkg/references/a.md"))
+    return c.select("conv_id", T.marker_line(T.package_title(slug)).alias("marker"), T.package_inner(path).alias("inside"))

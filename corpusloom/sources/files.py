@@ -5,8 +5,11 @@ Schemas are explicit; nothing is inferred. Writers go through Spark's commit pro
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from corpusloom.functions import text as T
 from corpusloom.operators import records
@@ -20,10 +23,12 @@ TOPICS = "schema_version int, topics array<struct<topic: string, file: string, s
 
 
 def jsonl(spark: SparkSession, paths: str | list[str], schema: str = RECORD, fields: dict[str, str] | None = None) -> DataFrame:
-    """Lines of JSON with ``ord``, their place by file name and position. ``fields``: logical to physical column names."""
+    """Lines of JSON with ``ord``, their place by file name and position. ``fields``: logical to physical column names.
+
+    A line that doesn't parse, or whose field has another type, fails the read; nothing is dropped."""
     names = fields or {}
     physical = ", ".join(f"{names.get(f.split()[0], f.split()[0])} {f.split(None, 1)[1]}" for f in _fields(schema))
-    rows = spark.read.schema(physical).option("mode", "DROPMALFORMED").json(paths)
+    rows = spark.read.schema(physical).option("mode", "FAILFAST").json(paths)
     order = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
     return rows.select(*[F.col(names.get(f.split()[0], f.split()[0])).alias(f.split()[0]) for f in _fields(schema)], order.alias("ord"))
 
@@ -45,13 +50,25 @@ def load_records(spark: SparkSession, paths: str | list[str], fields: dict[str,
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, url, section, n) of tab-separated lines; lines of one field and comments are left out but numbered."""
-    rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    """(file, url, section, n) of tab-separated lines, numbered from 1; lines of one field and comments are left out but
+    numbered. A manifest is read as one text, so its numbers have no gaps."""
+    whole = spark.read.text(path, wholetext=True)
+    rows = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("_i", "value")).withColumn("n", F.col("_i").cast("bigint") + 1)
     parts = F.split("value", "\t")
     got = rows.where((F.size(parts) > 1) & ~F.col("value").startswith("#"))
     return got.select(T.strip(parts[0]).alias("file"), T.strip(parts[1]).alias("url"), F.nullif(T.strip(F.get(parts, F.lit(2))), F.lit("")).alias("section"), "n")
 
 
+def manifest_pages(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """(n, file, url, section, html): the lines of a manifest with the files below ``root`` that they name; lines whose file
+    is missing go."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
+    pages = files.select(F.substring("path", len(base) + 1, 1 << 30).alias("file"), F.decode("content", "UTF-8").alias("html"))
+    return manifest(spark, path).join(pages, "file").select("n", "file", "url", "section", "html")
+
+
 def text_files(spark: SparkSession, root: str, pattern: str = "*.md", skip: tuple[str, ...] = ("INDEX.md",)) -> DataFrame:
     """(path, file, bytes, text) of a folder tree, read as whole files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
@@ -72,24 +89,67 @@ def load_queue(spark: SparkSession, path: str) -> DataFrame:
     return records.last_by_key(jsonl(spark, path, QUEUE), "path", "ord").drop("ord")
 
 
+class _Repeated(ValueError):
+    pass
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise _Repeated
+    return dict(pairs)
+
+
+def _fits(value: object, kind: K.DataType) -> bool:
+    """Whether a JSON value is of a type; null always is, and true and false are no numbers."""
+    if value is None:
+        return True
+    if isinstance(kind, K.StructType):
+        return isinstance(value, dict) and all(_fits(value.get(f.name), f.dataType) for f in kind)
+    if isinstance(kind, K.ArrayType):
+        return isinstance(value, list) and all(_fits(x, kind.elementType) for x in value)
+    if isinstance(kind, K.MapType):
+        return isinstance(value, dict) and all(_fits(x, kind.valueType) for x in value.values())
+    if isinstance(kind, K.BooleanType | K.StringType):
+        return type(value) is (bool if isinstance(kind, K.BooleanType) else str)
+    return type(value) is int or (type(value) is float and isinstance(kind, K.FractionalType))
+
+
+def json_error(text: str | None, kind: K.StructType, keys: frozenset[str]) -> str | None:
+    """What is wrong with a JSON text: not JSON, not an object, a key that repeats at any depth, other keys, another type."""
+    try:
+        value = json.loads(text or "", object_pairs_hook=_once)
+    except _Repeated:
+        return "duplicate key"
+    except ValueError:
+        return "not JSON"
+    if not isinstance(value, dict):
+        return "not an object"
+    return "wrong keys" if set(value) != keys else None if _fits(value, kind) else "wrong type"
+
+
 def strict(rows: DataFrame, column: str, schema: str, keys: tuple[str, ...]) -> DataFrame:
-    """Add ``error`` to JSON texts that don't parse, have other keys than these, or repeat one; and ``value``, parsed."""
-    found = F.regexp_extract_all(F.regexp_replace(column, r'(?s)\[.*?\]|(?<=\{.{1,9999})\{[^}]*\}', ""), F.lit(r'"([^"\\]+)"\s*:'), F.lit(1))
-    value = F.from_json(column, schema, {"mode": "PERMISSIVE"})
-    broken = F.try_parse_json(column).isNull()
-    names = F.json_object_keys(column)
-    error = (
-        F.when(broken, "not JSON").when(F.size(F.array_distinct(found)) < F.size(found), "duplicate key")
-        .when(F.array_sort(names) != F.array_sort(F.array(*[F.lit(k) for k in keys])), "wrong keys")
-    )
-    return rows.withColumn("value", value).withColumn("error", error)
+    """Add ``error`` to JSON texts that aren't objects of just these keys and types, each key once; and ``value``, parsed."""
+    kind, wanted = K.StructType.fromDDL(schema), frozenset(keys)
+    error = F.pandas_udf(lambda s: s.map(lambda t: json_error(t, kind, wanted)), "string")
+    return rows.withColumn("error", error(F.col(column))).withColumn("value", F.when(F.col("error").isNull(), F.from_json(column, schema)))
 
 
 def settings(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value): the overrides of a settings object; an empty file has none."""
-    text = spark.read.text(path, wholetext=True)
-    got = F.from_json(F.get_json_object("value", "$.overrides"), "map<string,string>")
-    return text.select(F.explode(F.coalesce(got, F.create_map().cast("map<string,string>"))).alias("name", "value"))
+    """(name, value): the overrides of a settings object; an empty file has none. Anything that is no object, or whose
+    overrides are none, fails."""
+    text = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"\S"))
+
+    def overrides(t: str) -> dict[str, str]:
+        got = json.loads(t)
+        if not isinstance(got, dict):
+            raise ValueError("the settings are no JSON object")
+        found = got.get("overrides") or {}
+        if not isinstance(found, dict):
+            raise ValueError("the overrides are no JSON object")
+        return {k: v if isinstance(v, str) else json.dumps(v) for k, v in found.items()}
+
+    read = F.pandas_udf(lambda s: s.map(lambda t: list(overrides(t).items())), "array<struct<name: string, value: string>>")
+    return text.select(F.inline(read("value")))
 
 
 def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:

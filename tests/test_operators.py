@@ -235,20 +235,17 @@ def test_numbers_of_every_document(spark, sf):
         for m in number.findall(prose):
             key = r["doc_id"], "num", m.strip()
             want[key] = want.get(key, 0) + 1
-    got = {(r["doc_id"], r["category"], r["token"]): r["n"] for r in registry.QUERIES["protected_tokens"](spark, sf).collect()}
+    got = {(r["doc_id"], r["category"], r["token"]): r["n"] for r in registry.QUERIES["token_multiset"](spark, sf).collect()}
     assert {k: n for k, n in got.items() if k[1] == "num"} == want and {k[0] for k in want} == {k[0] for k in got}
-    rest = {(r["doc_id"], r["category"], r["token"]): r["n"] for r in registry.QUERIES["token_multiset"](spark, sf).collect()}
-    assert {k: n for k, n in got.items() if k[1] != "num"} == rest
 
 
 def test_cells_of_every_document(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in plans.with_table(spark, sf).collect()}
-    got = registry.QUERIES["extract_packets_cells"](spark, sf).collect()
+    got = registry.QUERIES["extract_packets"](spark, sf).collect()
     cells = {r["doc_id"]: (r["i"], r["cell"], r["text"], r["total_lines"]) for r in got if r["cell"] is not None}
     last = {i: t.count("\n") for i, t in docs.items()}
     assert cells == {i: (last[i], 2, f"This is the cell of a table in document {i}", last[i] + 1) for i in docs}
     whole = {(r["doc_id"], r["i"], r["text"]) for r in got if r["cell"] is None}
-    assert whole == {(r["doc_id"], r["i"], r["text"]) for r in registry.QUERIES["extract_packets"](spark, sf).collect()}
     want = {}
     for i, t in docs.items():
         rows = t.split("\n")
