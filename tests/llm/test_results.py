@@ -1,6 +1,7 @@
 """Results against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import pathlib
 import re
 from collections import defaultdict
 
@@ -91,6 +92,46 @@ def test_licenses_whole_and_lines(spark):
         licenses.BROADCAST_DIGESTS = limit
 
 
+def reflowed(text, rng):
+    """The same licence as others write it: another line width, case, punctuation, copyright line and spelling."""
+    words = text.replace("License", "Licence").replace("favor", "favour").split()
+    lines, line = [], []
+    for w in words:
+        line.append(w.upper() if rng.random() < 0.2 else w)
+        if len(line) > rng.randint(5, 15):
+            lines.append(" ".join(line))
+            line = []
+    return "(c) 2021 Some Body\nAll rights reserved.\n\n * " + "\n * ".join([*lines, " ".join(line)]) + "\n"
+
+
+def test_whole_licenses_by_brute_force(spark):
+    """Every known text, reflowed and respelled, against a plain comparison of normalised words with each known text."""
+    import random
+
+    rng = random.Random(4)
+    full = [(n, t) for n, t in licenses.known_texts() if len(t) > 300]
+    made = [(n, reflowed(t, rng)) for n, t in full] + [(None, reflowed(t + " And nothing else.", rng)) for _, t in full]
+    plain = lambda t: " ".join(licenses.canonical_words("\n".join(licenses.body_lines(t))))
+    known = {plain(t): n for n, t in full}
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)], "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(made))] == [known.get(plain(t)) for _, t in made] == [n for n, _ in made]
+
+
+PUBLISHED = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.parametrize("file", PUBLISHED)
+def test_published_licenses(file):
+    """The digests of long licences, where this machine has their texts."""
+    path = pathlib.Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no text here")
+    text = path.read_text()
+    for t in (text, text.upper(), text.replace("\n", "\r\n"), text.split("END OF TERMS AND CONDITIONS")[0]):
+        assert licenses.text_digest(t) in licenses.FULL[PUBLISHED[file]].split()
+    assert licenses.text_digest(text.replace("software", "hardware", 1).replace("Work", "Wreck", 1)) not in licenses.FULL[PUBLISHED[file]].split()
+
+
 def test_fingerprints_of_edited_texts(documents):
     rows = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in fingerprints.edited_pairs(documents).collect()}
