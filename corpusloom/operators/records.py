@@ -75,6 +75,13 @@ def policy_changes(decisions: DataFrame, current: DataFrame) -> DataFrame:
     return d.select("name", F.col("value").alias("before"), after.alias("after"), op.alias("op")).where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def manifest_of(recommended: DataFrame, current: DataFrame) -> DataFrame:
+    """(name, before, selected, approved, controllable): decisions to be edited, of (name, recommended, controllable) and the
+    current overrides (name, value); nothing is approved yet."""
+    got = recommended.join(current, "name", "left")
+    return got.select("name", F.col("value").alias("before"), F.col("recommended").alias("selected"), F.lit(False).alias("approved"), "controllable")
+
+
 def patched(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Overrides (name, value) after the changes."""
     c = changes.select(F.col("name").alias("_n"), "after", F.lit(True).alias("_hit"))

@@ -157,8 +157,8 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_markdown(files: DataFrame, path: str, folder: str = "folder", text: str = "text") -> None:
-    """One text row a file, partitioned by folder."""
-    files.select(folder, T.one_newline(F.col(text)).alias("value")).write.mode("overwrite").partitionBy(folder).option("lineSep", "").text(path)
+    """Each text as a file of its own, ended by one newline, in the folder that its row names. File names are Spark's."""
+    files.select(folder, T.rstrip(F.coalesce(text, F.lit(""))).alias("value")).write.mode("overwrite").partitionBy(folder).option("maxRecordsPerFile", 1).text(path)
 
 
 def topics(files: DataFrame) -> DataFrame:
