@@ -29,6 +29,8 @@ BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
 #: Bound of the training sample: texts a language, drawn by hash over all training rows.
 TEXTS_PER_LANGUAGE = 150
+#: Bound of what the fit holds: characters of all its texts, which are read in an order drawn by hash until it is reached.
+MAX_CHARS = 100_000_000
 SEQUENCES, SEQ_WORDS, EPOCHS = 6000, 40, 3
 _LETTER = re.compile(r"[^\W\d_]")
 _CACHE = 200_000
@@ -246,7 +248,7 @@ class Labeller:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE) -> dict:
     """Learn from rows outside the held-out fold with a language, at most about ``per_language`` texts of each (drawn
-    by a hash of the id over the whole table). The fit runs in one task, on that bounded sample."""
+    by a hash of the id over the whole table) and ``MAX_CHARS`` characters. The fit runs in one task, on that bounded sample."""
     tune(docs.sparkSession)
     usable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
@@ -259,12 +261,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = usable.where(draw < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((l, t) for b in batches for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        rows, held = [], 0
+        for l, t in ((l, t) for b in batches for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            held += len(t)
+            if held > MAX_CHARS and rows:
+                break
+            rows.append((l, t))
+        rows.sort()
         m = train([t for _, t in rows], [l for l, _ in rows]) if rows else {"labels": []}
         if m["labels"]:
             yield pa.RecordBatch.from_arrays([pa.array([m["labels"]], pa.list_(pa.string())), *[pa.array([np.ascontiguousarray(m[k], d).tobytes()], pa.binary()) for k, d in (("weights", np.float32), ("trans", np.float64), ("start", np.float64))]], ["labels", "weights", "trans", "start"])
 
-    got = sample.repartition(1).mapInArrow(run, "labels array<string>, weights binary, trans binary, start binary").collect()
+    got = sample.repartition(1).sortWithinPartitions(F.xxhash64("text"), "lang", "text").mapInArrow(run, "labels array<string>, weights binary, trans binary, start binary").collect()
     if not got:
         return {"labels": []}
     k = len(got[0]["labels"])

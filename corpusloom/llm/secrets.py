@@ -7,7 +7,8 @@ pattern. A rule without a mandatory trigram (such as a bare run of hex digits) s
 so the index needs no shuffle and grows with neither the corpus nor the number of its documents.
 
 Defined results: a null text counts as empty and has no spans. Positions are code points, the end exclusive. Repeated rows
-get the same spans. Texts are scanned whole. Input columns that clash with an output's name are replaced.
+get the same spans. A null id is kept. Kinds that start at one place are listed in the order of the rules. Texts are scanned
+whole. Input columns that clash with an output's name are replaced.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ coordinate has its own learning rate; the L1 term leaves few weights other than
 small, whatever the corpus.
 
 Defined results: a null, empty or wordless text scores the bias alone. Labels other than 0 and 1 are ignored; a document
-with several labels counts as toxic if one says so. Repeated rows score alike. Without training rows every score is 0.
+with several labels counts as toxic if one says so. Repeated rows score alike; rows without an id are scored as well. Without training rows every score is 0.
 Input columns that clash with an output's name are replaced. Texts are scored whole.
 """
 
@@ -25,6 +25,8 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Bound of the training sample: labelled rows, drawn by hash over all labelled rows outside the held-out fold.
 MAX_LABELLED = 20_000
+#: Bound of what the fit holds: features of all its examples, which are read in an order drawn by hash until it is reached.
+MAX_FEATURES = 100_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 8.0, 0.0, 4
 
 
@@ -86,7 +88,8 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> dict | None:
     """Learn from labelled rows outside the held-out fold, at most about ``max_labelled`` of them (the bound also
-    limits what is broadcast to find their texts). FTRL is sequential: the fit runs in one task, on that sample."""
+    limits what is broadcast to find their texts) and ``MAX_FEATURES`` features. FTRL is sequential: the fit runs in one task,
+    on that sample. Labels without an id are ignored, as are documents without one."""
     tune(docs.sparkSession)
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
     total = marked.count()
@@ -108,14 +111,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["_id", "_y", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
+        got, held = [], 0
+        for r in (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
+            held += len(r[2]) // 4
+            if held > MAX_FEATURES and got:
+                break
+            got.append(r)
         got.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64) if isinstance(r[0], int) else hash(r[0]), r[2]))
         if got:
             m = train([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got], float))
             yield pa.RecordBatch.from_arrays([pa.array([m["at"].tobytes()], pa.binary()), pa.array([m["w"].tobytes()], pa.binary()), pa.array([m["bias"]])], ["at", "w", "bias"])
 
     kind = sample.schema["_id"].dataType.simpleString()
-    got = rows.mapInArrow(prepare, f"_id {kind}, _y int, x binary").repartition(1).mapInArrow(run, "at binary, w binary, bias double").collect()
+    got = rows.mapInArrow(prepare, f"_id {kind}, _y int, x binary").repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "x").mapInArrow(run, "at binary, w binary, bias double").collect()
     return {"at": np.frombuffer(got[0]["at"], np.int32), "w": np.frombuffer(got[0]["w"], np.float32), "bias": got[0]["bias"]} if got else None
 
 
