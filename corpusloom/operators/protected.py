@@ -18,17 +18,22 @@ from .overlap import left_over, length_ratio, prose_for_grams, remaining, units_
 
 HARD = ("ident", "url", "inline", "code")
 UNITS = "%|px|fps|[kMG]?Hz|[mnuµ]?s|[KMGTk]B|dB(?:FS)?|bits?|bytes?|mm|cm|m|x"
-#: Category to (pattern, group).
+#: Category to (pattern, group). What can't be given back is matched possessively, which spares most of the search.
 PATTERNS = {
     "inline": ((r"`([^`\n]+)`", 1),),
     "url": ((r"""https?:/{2}[^)>}\]"'\s]+""", 0), (r"\]\(\s*([^\s)]+)", 1)),
-    "ident": ((r"\b[a-zA-Z][0-9a-z]+(?:[A-Z][0-9a-z]+)+[0-9A-Za-z]*\b", 0), (r"\b[A-Z][0-9A-Z]*(?:_[0-9A-Z]+)+\b", 0), (r"\b[_A-Za-z]\w*(?:::\w+)+\b", 0)),
-    "num": ((rf"(?<![.\w])[0-9][0-9,]*(?:[.][0-9]+)?(?:[\s]?(?:{UNITS})\b)?", 0),),
+    "ident": ((r"\b[a-zA-Z][0-9a-z]++(?:[A-Z][0-9a-z]+)+[0-9A-Za-z]*\b", 0), (r"\b[A-Z][0-9A-Z]*+(?:_[0-9A-Z]+)+\b", 0), (r"\b[_A-Za-z]\w*+(?:::\w+)+\b", 0)),
+    "num": ((rf"(?=[0-9])(?<![.\w])[0-9][0-9,]*(?:[.][0-9]+)?(?:[\s]?(?:{UNITS})\b)?", 0),),
 }
 
 
+#: What a text must hold for a pattern to match at all; looking for it is cheap.
+NEEDED = {p: mark for kinds, marks in (("inline", "`"), ("url", ("://", "](")), ("ident", (None, "_", "::"))) for (p, _), mark in zip(PATTERNS[kinds], marks) if mark}
+
+
 def _found(category: str, prose: Column) -> Column:
-    parts = [F.regexp_extract_all(prose, F.lit(p), F.lit(g)) for p, g in PATTERNS[category]]
+    none = F.array().cast("array<string>")
+    parts = [F.when(F.contains(prose, F.lit(NEEDED[p])), F.regexp_extract_all(prose, F.lit(p), F.lit(g))).otherwise(none) if p in NEEDED else F.regexp_extract_all(prose, F.lit(p), F.lit(g)) for p, g in PATTERNS[category]]
     got = F.concat(*parts) if len(parts) > 1 else parts[0]
     if category == "url":
         got = F.filter(F.transform(got, lambda u: F.btrim(u, F.lit("<>"))), lambda u: ~u.startswith("#"))

@@ -11,6 +11,8 @@ from corpusloom.operators import audit, building, graph, lines, overlap, packing
 from .registry import query
 
 NL = "chr(10)"
+#: Bytes of Parquet for each core below which a table is spread.
+SPREAD_BYTES = 16 << 20
 STOP = "[" + ",".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 CHROME_SQL = r"""(regexp_matches(line, '(?i)^\s*((back to top|on this page|print this page|table of contents|all rights reserved\.?|was this page helpful\??)\s*$|edit this page|licensed under\s|\(c\)\s+\d{4}|©.*(\d{4}|contributor|license|reserved)|(sponsor|support)\s+(us\s+)?on\s+open\s+collective|\[(sponsor on github|support on open collective)\]\(|\[[^\]]*previous[\]][(][^)]*[)]\s*\[[^\]]*next[\]][(])') or regexp_matches(line, '^\s*Section titled\s+["“].*["”]\s*$'))"""
 LINES_SQL = "select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents"
@@ -85,6 +87,16 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work that is long for each text. A file of one row group is read by one task, so a small table is spread
+    over the cores first; a large one has row groups enough and is left as it is."""
+    d = documents(spark, sf)
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES * cores:
+        return d.repartition(cores)
+    return d
+
+
 def benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/benchmark.parquet")
 
@@ -99,7 +111,7 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
         "# Doc ", i, "\n\nSee `item_", i, "` at https://ex.org/a/", i % 7, " and [page](../p", i % 5, ".html#s) with FOO_BAR_", i % 3,
         " and someName in 12 ms.\n```py\nx = ", i, "\nTODO inside\n```\n## Part\n", F.col("text"), "\nTODO finish ", i,
     ]
-    return documents(spark, sf).select("doc_id", "source", F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("text"))
+    return texts(spark, sf).select("doc_id", "source", F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("text"))
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +142,7 @@ def with_table(spark: SparkSession, sf: str) -> DataFrame:
 )
 def residue_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that share 13-word grams with the benchmark."""
-    return overlap.residue_hits(documents(spark, sf), benchmark(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return overlap.residue_hits(texts(spark, sf), benchmark(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
 @query(
@@ -141,12 +153,12 @@ def residue_docs(spark: SparkSession, sf: str) -> DataFrame:
 )
 def residue_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal shared runs with their exemption."""
-    return overlap.residue_runs(documents(spark, sf), benchmark(spark, sf))
+    return overlap.residue_runs(texts(spark, sf), benchmark(spark, sf))
 
 
 @query(units_sql("select doc_id, text from documents"))
 def prose_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.prose_units(documents(spark, sf))
+    return lines.prose_units(texts(spark, sf))
 
 
 @query(units_sql(TABLE_SQL))
@@ -157,27 +169,27 @@ def prose_units_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SCORES_SQL)
 def prose_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.prose_scores(documents(spark, sf))
+    return lines.prose_scores(texts(spark, sf))
 
 
 @query(f"select * exclude (little) from ({TRIAGE_SQL})")
 def triage(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.triage(lines.prose_scores(documents(spark, sf)))
+    return lines.triage(lines.prose_scores(texts(spark, sf)))
 
 
 @query(f"select faction, tier, count(*) as n from ({TRIAGE_SQL}) group by rollup(faction, tier)")
 def triage_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.triage(lines.prose_scores(documents(spark, sf))).rollup("faction", "tier").agg(F.count("*").alias("n"))
+    return lines.triage(lines.prose_scores(texts(spark, sf))).rollup("faction", "tier").agg(F.count("*").alias("n"))
 
 
 @query(f"select doc_id, i, line from ({LINES_SQL}) where {CHROME_SQL}")
 def chrome_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.lines(documents(spark, sf)).where(~F.col("in_fence") & T.has_residue(F.col("line"))).select("doc_id", "i", "line")
+    return lines.lines(texts(spark, sf)).where(~F.col("in_fence") & T.has_residue(F.col("line"))).select("doc_id", "i", "line")
 
 
 @query(f"select doc_id, count(*) filter ({CHROME_SQL}) as cruft_lines, count(*) filter ({CHROME_SQL}) = 0 as passed from ({LINES_SQL}) group by 1")
 def gate_c(spark: SparkSession, sf: str) -> DataFrame:
-    return protected.gate_c(documents(spark, sf))
+    return protected.gate_c(texts(spark, sf))
 
 
 @query(
@@ -188,7 +200,7 @@ def gate_c(spark: SparkSession, sf: str) -> DataFrame:
  array_to_string(list_filter([case when n2 > 0 then 'strip_scrape_cruft:' || n2 end, case when n3 > 0 then 'strip_chrome:' || n3 end, case when len(y) < len(x) then 'normalize_blanks' end], lambda v: v is not null), ',') as actions from c"""
 )
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.clean_text(documents(spark, sf))
+    return lines.clean_text(texts(spark, sf))
 
 
 @query(f"select doc_id, category, token, count(*) as n from ({tokens_sql(MARKDOWN_SQL)}) group by all")
@@ -291,7 +303,7 @@ def extract_packets(spark: SparkSession, sf: str) -> DataFrame:
 )
 def splice(spark: SparkSession, sf: str) -> DataFrame:
     """The first prose unit of every document is rewritten; a rewrite for no line is skipped."""
-    d = documents(spark, sf)
+    d = texts(spark, sf)
     first = lines.prose_units(d).where("cell is null").groupBy("doc_id").agg(F.min("i").alias("i")).select("doc_id", "i", F.lit(None).cast("int").alias("cell"), F.concat(F.lit("Rewritten "), F.col("doc_id").cast("string"), F.lit(".")).alias("text"))
     stray = d.select("doc_id", F.lit(-1).alias("i"), F.lit(None).cast("int").alias("cell"), F.lit("stray").alias("text"))
     return lines.splice(d, first.unionByName(stray))
@@ -347,7 +359,7 @@ def pack_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def split_oversize(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.split_documents(documents(spark, sf), 4096)
+    return packing.split_documents(texts(spark, sf), 4096)
 
 
 @query(
@@ -356,7 +368,7 @@ def split_oversize(spark: SparkSession, sf: str) -> DataFrame:
  select source, word, n, rank from (select *, row_number() over (partition by source order by n desc, first) as rank from n) where rank <= 12"""
 )
 def keyword_top(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.keywords(documents(spark, sf), "source")
+    return graph.keywords(texts(spark, sf), "source")
 
 
 @query("select text, min(doc_id) as doc_id, arg_min(source, doc_id) as source from documents group by text")
@@ -391,7 +403,7 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 def line_predicates(spark: SparkSession, sf: str) -> DataFrame:
     """P6, P7, P11 and the heading heuristic on every line."""
     s = T.strip(F.col("line"))
-    got = lines.lines(documents(spark, sf)).where(s != "")
+    got = lines.lines(texts(spark, sf)).where(s != "")
     return got.select("doc_id", "i", T.is_entry_start(F.col("line")).alias("entry"), T.is_heading_like(F.col("line")).alias("heading_like"), T.is_distinctive(s).alias("distinctive"), T.has_banned(F.col("line"), ["License", "reserved"]).alias("banned"))
 
 
@@ -429,7 +441,7 @@ def title_scalars(spark: SparkSession, sf: str) -> DataFrame:
 def cross_link(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold the opening words of a benchmark item."""
     terms = benchmark(spark, sf).select(F.regexp_extract("text", "^[A-Z][a-z]+ [a-z]+ [a-z]+", 0).alias("term")).where("term <> ''")
-    return graph.term_presence(documents(spark, sf), terms)
+    return graph.term_presence(texts(spark, sf), terms)
 
 
 @query(
@@ -441,7 +453,7 @@ def cross_link(spark: SparkSession, sf: str) -> DataFrame:
 )
 def boilerplate(spark: SparkSession, sf: str) -> DataFrame:
     """A source as a book, its documents as pages."""
-    return audit.boilerplate(documents(spark, sf), "source", "doc_id")
+    return audit.boilerplate(texts(spark, sf), "source", "doc_id")
 
 
 @query()
@@ -481,7 +493,7 @@ def managed_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def maintenance(spark: SparkSession, sf: str) -> DataFrame:
-    return building.maintenance(documents(spark, sf), 4096, 2048)
+    return building.maintenance(texts(spark, sf), 4096, 2048)
 
 
 @query()
