@@ -73,6 +73,18 @@ def listing_issues(files: DataFrame, listed: DataFrame, package: str = "package"
     return f.join(l, [package, file], "left_anti").withColumn("issue", F.lit("unlisted")).unionByName(l.join(f, [package, file], "left_anti").withColumn("issue", F.lit("dangling")))
 
 
+def package_report(files: DataFrame, listed: DataFrame, limit: int) -> DataFrame:
+    """(package, files, oversize, unlisted, dangling) of (package, file, bytes) and (package, file): how many files each package
+    has, those over a size (the largest first, ties by name), those that no listing names, and listed ones that are missing."""
+    names = lambda kind: F.array_sort(F.collect_list(F.when(F.col("issue") == kind, F.col("file"))))
+    issues = listing_issues(files, listed).groupBy("package").agg(names("unlisted").alias("unlisted"), names("dangling").alias("dangling"))
+    big = F.array_sort(F.collect_list(F.when(F.col("bytes") > limit, F.struct((-F.col("bytes")).alias("n"), F.col("file").alias("file")))))
+    sizes = files.groupBy("package").agg(F.count("*").alias("files"), F.transform(big, lambda x: x["file"]).alias("oversize"))
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(c, none).alias(c) for c in ("oversize", "unlisted", "dangling")]
+    return sizes.join(issues, "package", "full_outer").select("package", F.coalesce("files", F.lit(0)).alias("files"), *lists)
+
+
 def issue_totals(issues: DataFrame, by: str = "issue", shown: int = 25, name: str = "file") -> DataFrame:
     """(issue, n, shown): counts, and the first names in order."""
     rank = F.row_number().over(W.partitionBy(by).orderBy(name))

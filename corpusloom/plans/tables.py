@@ -246,3 +246,19 @@ def package_paths(spark: SparkSession, sf: str) -> DataFrame:
     i, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     slug, path = F.concat_ws("-", "role", i), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("pkg/t"), t, F.lit("/x/references/a.md"))).otherwise(F.lit("pkg/references/a.md"))
     return c.select("conv_id", T.marker_line(T.package_title(slug)).alias("marker"), T.package_inner(path).alias("inside"))
+
+
+@query(
+    "with f as (select p_brand as package, p_name as file, p_size as bytes from part where p_partkey % 4 <> 0), l as (select p_brand as package, p_name as file from part where p_partkey % 5 <> 0), "
+    "i as (select coalesce(f.package, l.package) as package, coalesce(f.file, l.file) as file, f.file is null as dangling from (select distinct package, file from f) f full join (select distinct package, file from l) l on f.package = l.package and f.file = l.file where f.file is null or l.file is null), "
+    "j as (select package, array_to_string(list_sort(coalesce(list(file) filter (not dangling), [])), ',') as unlisted, array_to_string(list_sort(coalesce(list(file) filter (dangling), [])), ',') as dangling from i group by 1), "
+    "s as (select package, count(*) as files, array_to_string(coalesce(list(file order by bytes desc, file) filter (bytes > 45), []), ',') as oversize from f group by 1) "
+    "select package, coalesce(files, 0) as files, coalesce(oversize, '') as oversize, coalesce(unlisted, '') as unlisted, coalesce(dangling, '') as dangling from s full join j using (package)"
+)
+def package_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands as packages, parts as files."""
+    p = _table(spark, sf, "part")
+    files = p.where("p_partkey % 4 <> 0").select(F.col("p_brand").alias("package"), F.col("p_name").alias("file"), F.col("p_size").alias("bytes"))
+    listed = p.where("p_partkey % 5 <> 0").select(F.col("p_brand").alias("package"), F.col("p_name").alias("file"))
+    got = audit.package_report(files, listed, 45)
+    return got.select("package", "files", *[F.array_join(c, ",").alias(c) for c in ("oversize", "unlisted", "dangling")])

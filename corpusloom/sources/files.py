@@ -76,6 +76,25 @@ def text_files(spark: SparkSession, root: str, pattern: str = "*.md", skip: tupl
     return files.where(~name.isin(*skip)).select("path", name.alias("file"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("text"))
 
 
+SPEC = "path string, topic_level int, section string, group_consecutive boolean, subject_token string"
+
+
+def file_specs(spark: SparkSession, legend: str, topic_level: int = 2, section: str = "", group_consecutive: bool = False) -> DataFrame:
+    """(path, topic_level, section, group_consecutive, subject_token) of a legend (JSON: defaults, files): what a file sets wins
+    over the legend's defaults, and those over the arguments. Sorted by path."""
+    text = spark.read.text(legend, wholetext=True)
+    shape = f"struct<{', '.join(c.replace(' ', ': ', 1) for c in SPEC.split(', '))}>"
+    got = text.select(F.from_json("value", f"defaults {shape}, files array<{shape}>", {"mode": "FAILFAST"}).alias("l")).select("l.defaults", F.explode("l.files").alias("f"))
+    base = {"topic_level": F.lit(topic_level), "section": F.lit(section), "group_consecutive": F.lit(group_consecutive), "subject_token": F.lit("")}
+    return got.select("f.path", *[F.coalesce(f"f.{c}", f"defaults.{c}", d).alias(c) for c, d in base.items()]).orderBy("path")
+
+
+def specs_of(spark: SparkSession, pattern: str, topic_level: int = 2, section: str = "", group_consecutive: bool = False) -> DataFrame:
+    """The same of the files that a glob finds, sorted by path."""
+    found = spark.read.format("binaryFile").load(pattern).select("path")
+    return found.select("path", F.lit(topic_level).alias("topic_level"), F.lit(section).alias("section"), F.lit(group_consecutive).alias("group_consecutive"), F.lit("").alias("subject_token")).orderBy("path")
+
+
 def named_artifacts(spark: SparkSession, root: str, pattern: str, pruned: tuple[str, ...] = ()) -> DataFrame:
     """Paths below root whose file name matches, outside pruned folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")

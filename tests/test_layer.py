@@ -224,3 +224,11 @@ def test_stretches_of_lines(spark):
         assert rows == want
     heads = sorted((r["doc_id"], r["i"], r["heading"]) for r in lines.with_headings(df.where("doc_id = 5")).collect())
     assert [h for _, _, h in heads] == ["# h"] * 4 + ["## i"] * 2
+
+
+def test_file_specs(spark, tmp_path):
+    (tmp_path / "l.json").write_text(json.dumps({"defaults": {"section": "guide", "topic_level": 3}, "files": [{"path": "b.md", "topic_level": 1}, {"path": "a.md", "subject_token": "S"}]}))
+    assert [tuple(r) for r in files.file_specs(spark, str(tmp_path / "l.json")).collect()] == [("a.md", 3, "guide", False, "S"), ("b.md", 1, "guide", False, "")]
+    for n in ("z.md", "y.md", "x.txt"):
+        (tmp_path / n).write_text("x")
+    assert [r["path"].rsplit("/", 1)[1] for r in files.specs_of(spark, str(tmp_path / "*.md")).collect()] == ["y.md", "z.md"]
