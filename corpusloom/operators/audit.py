@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 from .lines import lines
+from .overlap import small
 
 
 def size_stats(files: DataFrame, size: str, group: list[str] | None = None, target: int = 24 * 1024) -> DataFrame:
@@ -159,6 +160,10 @@ def covers(rows: DataFrame, by: Sequence[str], order: str, title: str, shown: in
     return got.select(*by, F.array_join(F.transform(F.slice("_t", 1, shown), lambda x: x["t"]), "; ").alias("covers"))
 
 
+PAGE_NUMBER = r"^\d{1,4}$"
+CONTENTS = ("contents", "in this chapter", "table of contents")
+
+
 def boilerplate(pages: DataFrame, book: str, page: str, text_col: str = "text") -> DataFrame:
     """(book, kind, line, n): running headers (capitals at a page's edge, three times or more) and footers (the first four
     words of a page's last line that is no number, on a fifth of the pages and at least three)."""
@@ -167,9 +172,9 @@ def boilerplate(pages: DataFrame, book: str, page: str, text_col: str = "text")
     rows = rows.withColumns({"_a": F.row_number().over(up), "_z": F.row_number().over(down), "n_": T.squeeze(F.col("line"))})
     # A short page's line may be among the first two and the last three at once, and then counts twice.
     weight = (F.col("_a") <= 2).cast("int") + (F.col("_z") <= 3).cast("int")
-    shout = F.col("n_").rlike(r"[\p{Lu}]") & ~F.col("n_").rlike(r"[\p{Ll}]") & F.col("n_").rlike(r"^[A-Z0-9 &/().'-]{2,30}$")
+    shout = F.col("n_").rlike(r"[\p{Lu}]") & ~F.col("n_").rlike(r"[\p{Ll}]") & F.col("n_").rlike(r"^[A-Z0-9 &/.-]{2,30}$")
     caps = rows.where(shout & (weight > 0)).groupBy(book, F.col("n_").alias("line")).agg(F.sum(weight).cast("bigint").alias("n")).where("n >= 3").select(book, F.lit("header").alias("kind"), "line", "n")
-    number = F.col("n_").rlike(r"^(\d+|[ivxlc]+)$")
+    number = F.col("n_").rlike(PAGE_NUMBER)
     last = rows.where(~number).groupBy(book, page).agg(F.max_by("n_", "i").alias("l"))
     words = F.array_join(F.slice(F.split("l", " "), 1, 4), " ")
     total = pages.groupBy(book).agg(F.count("*").alias("_pages"))
@@ -179,19 +184,26 @@ def boilerplate(pages: DataFrame, book: str, page: str, text_col: str = "text")
 
 
 def clean_pages(pages: DataFrame, found: DataFrame, book: str, page: str, text_col: str = "text") -> DataFrame:
-    """(book, page, text): pages without page numbers, dot leaders, and the headers and footers found."""
-    rows = pages.select(book, page, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("i", "line"))
-    s = T.strip(F.col("line"))
-    down = W.partitionBy(book, page, s == "").orderBy(F.desc("i"))
-    rows = rows.withColumns({"_s": s, "_z": F.row_number().over(down), "_n": T.squeeze(F.col("line"))})
-    rows = rows.withColumn("_four", F.array_join(F.slice(F.split("_n", " "), 1, 4), " "))
-    rows = rows.where((F.col("_s") == "") | ~(F.col("_s").rlike(r"^(\d+|[ivxlc]+)$") | F.col("_s").rlike(r"(\.\s?){4,}\s*\d+\s*$") | F.lower("_n").isin("contents", "table of contents")))
-    heads = found.where("kind = 'header'").select(book, F.col("line").alias("_n"))
-    feet = found.where("kind = 'footer'").select(book, F.col("line").alias("_four"), F.lit(True).alias("_foot"))
-    rows = rows.join(heads, [book, "_n"], "left_anti").join(feet, [book, "_four"], "left")
-    rows = rows.where(~((F.col("_z") <= 3) & (F.col("_s") != "") & F.coalesce("_foot", F.lit(False))))
-    got = rows.groupBy(book, page).agg(F.array_sort(F.collect_list(F.struct("i", F.regexp_replace("line", r"\s+$", "").alias("x")))).alias("_r"))
-    return got.select(book, page, F.array_join(F.transform("_r", lambda r: r["x"]), "\n").alias("text"))
+    """(book, page, text): pages without page numbers, chapter labels, leaders of tables of contents, reference footers, and the
+    headers and footers found; undecodable glyphs go. A book's few headers and footers join its pages as two lists."""
+    lists = found.groupBy(book).agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("line"))).alias(n) for k, n in (("header", "_heads"), ("footer", "_feet"))])
+
+    def cleaned(rows, heads, feet):
+        full = F.filter(F.transform(rows, lambda x, i: F.when(T.strip(x) != "", i)), lambda i: i.isNotNull())
+        zone = T.let(full, lambda f: F.slice(f, F.greatest(F.size(f) - 2, F.lit(1)), 3))
+
+        def keep(x, i, low):
+            s, n = T.strip(x), T.squeeze(x)
+            dropped = s.rlike(PAGE_NUMBER) | s.rlike(r"(?i)^chapter\s+\d+$") | F.lower(n).isin(*CONTENTS) | s.rlike(r"\.{5,}|\x{FFFD}{3,}") | s.rlike(r"(?i)\|\s*chapter\s+\d+")
+            foot = F.array_contains(low, i) & F.array_contains(feet, F.array_join(F.slice(F.split(n, " "), 1, 4), " "))
+            bare = F.replace(T.rstrip(x), F.lit("\ufffd"), F.lit(""))
+            return F.when(s == "", F.lit("")).when(dropped | F.array_contains(heads, n) | foot | (T.strip(bare) == ""), F.lit(None)).otherwise(bare)
+
+        return T.let(zone, lambda low: F.array_join(F.array_compact(F.transform(rows, lambda x, i: keep(x, i, low))), "\n"))
+
+    none = F.array().cast("array<string>")
+    both = pages.select(book, page, F.split(F.coalesce(text_col, F.lit("")), "\n").alias("_l")).join(small(lists), book, "left")
+    return both.select(book, page, cleaned(F.col("_l"), F.coalesce("_heads", none), F.coalesce("_feet", none)).alias("text"))
 
 
 def first_divergence(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:

@@ -447,9 +447,9 @@ def cross_link(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     r"""with l as (select source, doc_id, line, i, row_number() over (partition by doc_id order by i) as a, row_number() over (partition by doc_id order by i desc) as z, regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), '^ | $', '', 'g') as n
  from (select source, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(line, '\S')),
- foot as (select source, array_to_string(list_slice(string_split(arg_max(n, i), ' '), 1, 4), ' ') as line from l where not regexp_matches(n, '^(\d+|[ivxlc]+)$') group by source, doc_id),
+ foot as (select source, array_to_string(list_slice(string_split(arg_max(n, i), ' '), 1, 4), ' ') as line from l where not regexp_matches(n, '^\d{1,4}$') group by source, doc_id),
  f as (select source, 'footer' as kind, line, count(*) as n from foot join (select source, count(*) as pages from documents group by 1) using (source) group by source, line, pages having count(*) >= greatest(3, floor(pages * 0.2)))
- select * from f union all select source, 'header', n, sum((a <= 2)::int + (z <= 3)::int)::bigint from l where regexp_matches(n, '\p{Lu}') and not regexp_matches(n, '\p{Ll}') and regexp_matches(n, '^[A-Z0-9 &/().''-]{2,30}$') and (a <= 2 or z <= 3) group by source, n having sum((a <= 2)::int + (z <= 3)::int) >= 3"""
+ select * from f union all select source, 'header', n, sum((a <= 2)::int + (z <= 3)::int)::bigint from l where regexp_matches(n, '\p{Lu}') and not regexp_matches(n, '\p{Ll}') and regexp_matches(n, '^[A-Z0-9 &/.-]{2,30}$') and (a <= 2 or z <= 3) group by source, n having sum((a <= 2)::int + (z <= 3)::int) >= 3"""
 )
 def boilerplate(spark: SparkSession, sf: str) -> DataFrame:
     """A source as a book, its documents as pages."""

@@ -232,3 +232,10 @@ def test_file_specs(spark, tmp_path):
     for n in ("z.md", "y.md", "x.txt"):
         (tmp_path / n).write_text("x")
     assert [r["path"].rsplit("/", 1)[1] for r in files.specs_of(spark, str(tmp_path / "*.md")).collect()] == ["y.md", "z.md"]
+
+
+def test_clean_pages(spark):
+    pages = [("b", 1, "HEAD\n\nChapter 3\nbody  \n12\nIn this chapter\nTitle.....3085\nPart | Chapter 4 Title\na � glyph\n�\nthe foot of it\nlast"), ("c", 1, "HEAD\nthe foot of it goes"), ("c", 2, None)]
+    found = spark.createDataFrame([("b", "header", "HEAD"), ("b", "footer", "the foot of it")], "book string, kind string, line string")
+    got = {(r["book"], r["page"]): r["text"] for r in audit.clean_pages(spark.createDataFrame(pages, "book string, page int, text string"), found, "book", "page").collect()}
+    assert got == {("b", 1): "\nbody\na  glyph\nlast", ("c", 1): "HEAD\nthe foot of it goes", ("c", 2): ""}
