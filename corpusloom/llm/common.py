@@ -154,21 +154,12 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_ASCII_SPACE_PUNCT).split() if text else []
 
 
-class WordHasher(dict):
-    """Word to 64-bit hash, remembering at most ``limit`` words."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < self.limit:
-            self[word] = h
-        return h
+class WordHasher:
+    """Words to 64-bit hashes. Nothing is remembered: a corpus has millions of words, and finding one among many in memory
+    takes longer than hashing it."""
 
     def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def hashed(texts: Sequence[str | None], split: Callable, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -205,17 +196,17 @@ def owners(counts: np.ndarray) -> np.ndarray:
 def shingle2(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Owner and hash of each text's distinct 2-word shingles, sorted; a one-word text has its word as one shingle."""
     own = owners(counts)
+    keep = np.zeros(len(h), bool)
+    sh = np.zeros(len(h), np.uint64)
     if len(h) > 1:
-        inner = own[1:] == own[:-1]
-        so, sh = own[:-1][inner], pair(h[:-1][inner], h[1:][inner])
-    else:
-        so, sh = own[:0], h[:0]
-    single = counts == 1
-    if single.any():
-        at = (np.cumsum(counts) - counts)[single]
-        so, sh = np.concatenate([so, np.flatnonzero(single)]), np.concatenate([sh, mix(h[at] + np.uint64(1))])
-    order = np.lexsort((sh, so))
-    so, sh = so[order], sh[order]
+        keep[:-1] = own[1:] == own[:-1]
+        sh[:-1] = pair(h[:-1], h[1:])
+    at = (np.cumsum(counts) - counts)[counts == 1]
+    keep[at], sh[at] = True, mix(h[at] + np.uint64(1))
+    so, sh = own[keep], sh[keep]
+    cuts = np.append(np.flatnonzero(np.diff(so, prepend=-1)), len(so)).tolist()
+    for lo, hi in zip(cuts, cuts[1:]):
+        sh[lo:hi].sort()
     if len(so):
         first = np.ones(len(so), bool)
         first[1:] = (so[1:] != so[:-1]) | (sh[1:] != sh[:-1])

@@ -36,6 +36,8 @@ BLOCK_ITEM_CHARS = 4_000_000
 _FILTER_BITS = 22
 #: Pairs of a seed hit and an item that are held at once; a document with more is a run of its own.
 _HITS = 500_000
+#: Words of windows that are aligned at once; their rows stay in a core's cache.
+_CELLS = 32_000
 
 
 def grams(h: np.ndarray, own: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -106,7 +108,7 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     at = 0
     while at < len(order):
         end, cells = at, 0
-        while end < len(order) and (end == at or cells < 400_000):
+        while end < len(order) and (end == at or cells < _CELLS):
             cells += len(windows[order[end]])
             end += 1
         some = order[at:end]
@@ -131,6 +133,28 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def common_words(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """How many of each item's words occur in its window, wherever: no alignment can match more of them."""
+    out = np.zeros(len(windows), np.int64)
+    order = sorted(range(len(windows)), key=lambda i: (len(items[i]), len(windows[i])))
+    at = 0
+    while at < len(order):
+        end, cells = at, 0
+        while end < len(order) and (end == at or cells < _CELLS):
+            cells += len(windows[order[end]])
+            end += 1
+        some = order[at:end]
+        w = np.zeros((len(some), max(len(windows[i]) for i in some)), np.uint64)
+        t = np.full((len(some), max(len(items[i]) for i in some)), np.uint64(1))
+        for k, i in enumerate(some):
+            w[k, : len(windows[i])] = windows[i] | np.uint64(2)
+            t[k, : len(items[i])] = items[i] | np.uint64(2)
+        for j in range(t.shape[1]):
+            out[some] += (w == t[:, j : j + 1]).any(1)
+        at = end
+    return out
+
+
 class Finder:
     """(item, score, first word, last word) of a text, for the test items of one block."""
 
@@ -182,9 +206,14 @@ class Finder:
         a = np.maximum(begin[first] - slack, text_lo[doc[first]])
         b = np.minimum(begin[last] + size[first] + slack, text_lo[doc[first]] + counts[doc[first]])
         targets = [it.h[it.starts[i] : it.starts[i] + it.counts[i]] for i in item[first]]
-        score = align([h[x:y] for x, y in zip(a, b)], targets)
+        windows = [h[x:y] for x, y in zip(a, b)]
         full = MATCH * size[first]
-        good = (score >= self.share * full) | (score >= MATCH * self.words)
+        enough = lambda s: (s >= self.share * full) | (s >= MATCH * self.words)
+        # Most seeds are common words alone: what can't be enough needs no alignment.
+        maybe = np.flatnonzero(enough(MATCH * common_words(windows, targets)))
+        score = np.zeros(len(windows), np.int64)
+        score[maybe] = align([windows[k] for k in maybe], [targets[k] for k in maybe])
+        good = enough(score)
         best: dict[tuple, dict] = {}
         for k in np.flatnonzero(good):
             d, i = int(doc[first[k]]), it.ids[int(item[first[k]])]

@@ -19,11 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, hot_join, running_sum, stored, without
+from .common import free_name, hot_join, running_sum, stored, tune, without
 
 SHARES = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -39,8 +41,14 @@ BROADCAST_SOURCES = 100_000
 OUTPUTS = ("size", "source_size", "target", "taken")
 
 
+@F.arrow_udf(T.LongType())
+def _n_words(texts: pa.Array) -> pa.Array:
+    return pa.array([len(t.split()) if t else 0 for t in texts.to_pylist()], pa.int64())
+
+
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint"), F.lit(0))
+    r"""Number of ``[^\x20\x09-\x0D]+``, which bytes.split() counts in a third of the time that a regular expression takes."""
+    return _n_words(text.cast("string").cast("binary"))
 
 
 def uniform(id_: Column) -> Column:
@@ -79,6 +87,7 @@ def mix(
 ) -> DataFrame:
     """Add size, source_size, target and taken (words the mix takes of the document, repeats counted). ``size``: an expression
     of the documents' sizes if they are known."""
+    tune(docs.sparkSession)
     names = docs.columns if carry is None else list(carry)
     kept = without(docs.select(*[docs[f"`{c}`"] for c in names]), OUTPUTS).columns
     inner = [free_name(docs.columns, f"_c{i}") for i in range(len(kept))]
