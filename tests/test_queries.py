@@ -31,5 +31,23 @@ def test_matches_sql(spark, sf, duck, name):
     assert sorted(tuple(norm(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(norm(r[k]) for k in at) for r in want.fetchall())
 
 
+@pytest.mark.parametrize(
+    "name, texts",
+    [
+        ("cross_link", ["Bergech zu den", "zz Bergech zu denüau", "éBergech zu den.", "Bergech zu dena", "xBergech zu den", "bergech zu den", None]),
+    ],
+)
+def test_odd_texts_match_sql(spark, tmp_path, name, texts):
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", "Bergech zu den Haus"), ("b", "ohne")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    want = con.sql(registry.ORACLE_SQL[name])
+    at = [want.columns.index(c) for c in df.columns]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
