@@ -7,21 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import xxhash
-from pyspark.sql import SparkSession
 
-#: Rows of texts that cross to Python at once, and characters that are cut into words at once.
-ROWS_PER_BATCH, CHARS = 2000, 4_000_000
+#: Characters that are cut into words at once.
+CHARS = 4_000_000
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, unless the session already does."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
-
-
 def words(text: str | None) -> list[str]:
     """Lower-cased words of any script."""
     return _WORD.findall(text.lower()) if text else []

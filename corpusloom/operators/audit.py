@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions import arrow
 from corpusloom.functions import text as T
 
 from .lines import lines
@@ -210,7 +211,7 @@ def first_divergence(left: DataFrame, right: DataFrame, key: str, column: str) -
     """(key, offset): where two texts of a key first differ, null where they are equal."""
     a, b = left.select(key, F.col(column).alias("_a")), right.select(key, F.col(column).alias("_b"))
     both = a.join(b, key, "full_outer")
-    shared = F.pandas_udf(lambda p, q: p.combine(q, lambda s, t: len(os.path.commonprefix([s, t]))), "int")
+    shared = arrow.udf(lambda p, q: p.combine(q, lambda s, t: len(os.path.commonprefix([s, t]))), "int")
     place = shared(F.coalesce("_a", F.lit("")), F.coalesce("_b", F.lit("")))
     # Equal texts, which are most, don't cross to Python.
     differ = both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key, place.alias("offset"))

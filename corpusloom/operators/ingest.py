@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions import arrow
 from corpusloom.functions import html as H
 from corpusloom.functions import text as X
 
@@ -53,8 +54,8 @@ def api_section(html: str, content_id: str, dropped: Sequence[str] = (), labels:
 
 def api_pages(pages: DataFrame, name: str, content_id: str, html_col: str = "html", id_col: str = "page_id", **options) -> DataFrame:
     """(chunk_id, title, source_url, text) of API pages; five-digit ids by the page's number."""
-    section = F.pandas_udf(lambda s: s.map(lambda h: api_section(h, content_id, **options)), T.StringType())
-    title = F.pandas_udf(lambda s: s.map(lambda h: re.sub(r"\s+", " ", re.sub("<[^>]+>", "", (re.search(r"(?is)<title[^>]*>(.*?)</title>", h or "") or ["", ""])[1])).strip()), T.StringType())
+    section = arrow.udf(lambda s: s.map(lambda h: api_section(h, content_id, **options)), T.StringType())
+    title = arrow.udf(lambda s: s.map(lambda h: re.sub(r"\s+", " ", re.sub("<[^>]+>", "", (re.search(r"(?is)<title[^>]*>(.*?)</title>", h or "") or ["", ""])[1])).strip()), T.StringType())
     got = pages.select(F.format_string(f"{name}-%05d", F.col(id_col)).alias("chunk_id"), title(F.col(html_col)).alias("title"), F.col("url").alias("source_url"), section(F.col(html_col)).alias("text"))
     return got.where("text <> ''")
 
@@ -75,7 +76,7 @@ def flatten_outline(outline: str | None) -> list[dict]:
 
 def outline_entries(books: DataFrame, column: str = "outline", id_col: str = "book_id") -> DataFrame:
     """(book, n, title, page, depth) of outlines."""
-    flat = F.pandas_udf(lambda s: s.map(flatten_outline), _ENTRY)
+    flat = arrow.udf(lambda s: s.map(flatten_outline), _ENTRY)
     return books.select(id_col, F.posexplode(flat(F.col(column))).alias("n", "e")).select(id_col, "n", "e.title", "e.page", "e.depth")
 
 
@@ -98,7 +99,7 @@ def crumbs(entries: DataFrame, id_col: str = "book_id") -> DataFrame:
             out.append([x for _, x in stack])
         return out
 
-    path = F.pandas_udf(lambda s: s.map(walk), T.ArrayType(T.ArrayType(T.StringType())))
+    path = arrow.udf(lambda s: s.map(walk), T.ArrayType(T.ArrayType(T.StringType())))
     paths = lists.select(id_col, F.inline(F.arrays_zip(F.col("e.n").alias("n"), path(F.col("e")).alias("path"))))
     return entries.join(paths, [id_col, "n"])
 
@@ -138,4 +139,4 @@ def chapters(spans: DataFrame, book: str = "title", page: str = "page", text: st
     """(title, text): the pages of each chapter, joined in order and reflowed."""
     got = spans.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(page, text))).alias("_p"))
     joined = F.array_join(F.transform("_p", lambda r: r[text]), "\n")
-    return got.select(book, F.pandas_udf(lambda s: s.map(chapter), T.StringType())(joined).alias("text"))
+    return got.select(book, arrow.udf(lambda s: s.map(chapter), T.StringType())(joined).alias("text"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from corpusloom.functions import text as T
-from corpusloom.functions.grams import Grams, bound_batches, chunks, greedy_runs, words
+from corpusloom.functions.arrow import bound_batches
+from corpusloom.functions.grams import Grams, chunks, greedy_runs, words
 
 from .lines import unit_array
 

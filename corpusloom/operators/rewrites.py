@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions import arrow
 from corpusloom.functions import text as T
 
 from .lines import splice
@@ -30,7 +31,7 @@ def load_rewrites(rows: DataFrame, column: str = "json", id_col: str = "doc_id")
             raise ValueError("rewrites are an object with items, a list, or lines by number")
         return [{"i": x["i"], "cell": x.get("cell"), "text": x["text"]} for x in got]
 
-    read = F.pandas_udf(lambda s: s.map(items), ITEM)
+    read = arrow.udf(lambda s: s.map(items), ITEM)
     return rows.select(id_col, F.posexplode(read(F.col(column))).alias("ord", "r")).select(id_col, "ord", "r.i", "r.cell", "r.text")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
+from corpusloom.functions import arrow
 from corpusloom.functions import text as T
 from corpusloom.operators import records
 
@@ -149,7 +150,7 @@ def json_error(text: str | None, kind: K.StructType, keys: frozenset[str]) -> st
 def strict(rows: DataFrame, column: str, schema: str, keys: tuple[str, ...]) -> DataFrame:
     """Add ``error`` to JSON texts that aren't objects of just these keys and types, each key once; and ``value``, parsed."""
     kind, wanted = K.StructType.fromDDL(schema), frozenset(keys)
-    error = F.pandas_udf(lambda s: s.map(lambda t: json_error(t, kind, wanted)), "string")
+    error = arrow.udf(lambda s: s.map(lambda t: json_error(t, kind, wanted)), "string")
     return rows.withColumn("error", error(F.col(column))).withColumn("value", F.when(F.col("error").isNull(), F.from_json(column, schema)))
 
 
@@ -167,7 +168,7 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError("the overrides are no JSON object")
         return {k: v if isinstance(v, str) else json.dumps(v) for k, v in found.items()}
 
-    read = F.pandas_udf(lambda s: s.map(lambda t: list(overrides(t).items())), "array<struct<name: string, value: string>>")
+    read = arrow.udf(lambda s: s.map(lambda t: list(overrides(t).items())), "array<struct<name: string, value: string>>")
     return text.select(F.inline(read("value")))
 
 
